@@ -55,6 +55,20 @@ def with_ngrams(df: DataFrame, tokens: str, out: str, low: int, high: int) -> Da
     return df.withColumn(out, F.array_distinct(F.concat(*parts))).drop(*parts)
 
 
+def explode_values(df: DataFrame, keep: list, array: Column, name: str) -> DataFrame:
+    """One row per element of an array that is costly to compute and holds no nulls.
+
+    A plain `explode` lets the optimizer add a filter for non-empty arrays below it, which computes the array
+    a second time; the outer form does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def number_lines(df: DataFrame, keep: list, text: Column) -> DataFrame:
+    """One row per line of a text: `pos` from 0 and `line`."""
+    return df.select(*keep, F.posexplode_outer(lines(text)).alias("pos", "line")).where(F.col("line").isNotNull())
+
+
 def _contains_any(text: Column, needles: list[str], whole_words: bool) -> Column:
     if whole_words:
         return text.rlike(r"(?:^|[^\p{L}\p{N}_])(?:" + "|".join(needles) + r")(?:[^\p{L}\p{N}_]|$)")

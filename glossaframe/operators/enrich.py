@@ -167,8 +167,8 @@ def run(df: DataFrame, *, row_content: Column, payload: Column, prompt: str, sch
     groups = stage(
         keyed.groupBy("cache_key").agg(F.min(RID).alias("rep"), F.count(F.lit(1)).alias("n_rows")), "content-keys"
     )
-    sizes = groups.agg(F.sum("n_rows").alias("rows"), F.count(F.lit(1)).alias("keys")).first()
-    total, distinct = sizes["rows"] or 0, sizes["keys"]
+    sizes = groups.agg(F.sum("n_rows").alias("rows"), F.max("n_rows").alias("largest"), F.count(F.lit(1)).alias("keys")).first()
+    total, largest, distinct = sizes["rows"] or 0, sizes["largest"] or 0, sizes["keys"]
 
     use_cache = cache is not None and rerun_mode == "reuse" and not cache.is_empty()
     if use_cache:
@@ -201,7 +201,7 @@ def run(df: DataFrame, *, row_content: Column, payload: Column, prompt: str, sch
     resolved = judged if hits is None else judged.unionByName(hits.select(*judged.columns))
     resolved = decode(resolved)
     audit = resolved.select("status", "asked", "n_rows", *columns)
-    hot = hot_keys(groups.withColumnRenamed("cache_key", "__key"), "__key")
+    hot = hot_keys(groups.withColumnRenamed("cache_key", "__key"), "__key", total=total, largest=largest)
     if dry_run_rows:
         base = scope.withColumn("__key", key)
     elif where:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, keys
-from ..functions.text import polarity_of, surface_words, text_or_empty, with_ngrams
+from ..functions.text import explode_values, polarity_of, surface_words, text_or_empty, with_ngrams
 from ..scratch import stage
 from ..sources.row_ids import RID
 from .enrich import check_choice, check_columns
@@ -34,7 +35,7 @@ def phrase_support(df: DataFrame, text_column: str, low: int, high: int, min_row
     `prune` first counts hash buckets instead of phrases: a bucket below the threshold cannot hold a frequent
     phrase, so the long tail of rare phrases is dropped in the scan and never shuffled. The result is the same.
     """
-    grams = _with_grams(df, text_column, low, high).select(F.explode("__grams").alias("phrase"))
+    grams = explode_values(_with_grams(df, text_column, low, high), [], F.col("__grams"), "phrase")
     if prune:
         bucket = F.pmod(F.xxhash64("phrase"), F.lit(PRUNE_BUCKETS))
         heavy = (
@@ -46,29 +47,37 @@ def phrase_support(df: DataFrame, text_column: str, low: int, high: int, min_row
     return counted.where(F.col("support") >= min_rows)
 
 
+def _first_rows(hits: DataFrame) -> DataFrame:
+    """`(phrase, example_rids)` from distinct `(phrase, _rid)`."""
+    first = top_n_per_group(hits, ["phrase"], [F.col(RID)], fixed.EXAMPLE_ROWS, F.col(RID))
+    return first.groupBy("phrase").agg(F.array_sort(F.collect_list(RID)).alias("example_rids"))
+
+
 def examples_of(df: DataFrame, text_column: str, phrases: Sequence[str], low: int, high: int) -> DataFrame:
     """`(phrase, example_rids)`: the first rows that contain each of a short list of phrases."""
     wanted = F.array(*[F.lit(p) for p in phrases])
-    hits = _with_grams(df, text_column, low, high).select(RID, F.explode(F.array_intersect("__grams", wanted)).alias("phrase"))
-    first = top_n_per_group(hits, ["phrase"], [F.col(RID)], fixed.EXAMPLE_ROWS, F.col(RID))
-    return first.groupBy("phrase").agg(F.array_sort(F.collect_list(RID)).alias("example_rids"))
+    return _first_rows(explode_values(_with_grams(df, text_column, low, high), [RID], F.array_intersect("__grams", wanted), "phrase"))
 
 
-def variants_of(df: DataFrame, text_column: str, phrases: Sequence[str], low: int, high: int) -> DataFrame:
+def occurrences_of(df: DataFrame, text_column: str, phrases: Sequence[str]) -> DataFrame:
+    """`(_rid, phrase, variant)`: each place where one of a short list of phrases stands, and how it is written."""
+    runs = df.select(RID, surface_words(text_or_empty(F.col(f"`{text_column}`"))).alias("p")).select(
+        RID, F.col("p")["norm"].alias("__norm"), F.col("p")["surface"].alias("__surface")
+    )
+    sizes = sorted({len(p.split(" ")) for p in phrases})
+    for n in sizes:
+        runs = NGram(n=n, inputCol="__norm", outputCol=f"__norm{n}").transform(runs)
+        runs = NGram(n=n, inputCol="__surface", outputCol=f"__surface{n}").transform(runs)
+    aligned = F.arrays_zip(
+        F.concat(*[f"__norm{n}" for n in sizes]).alias("phrase"), F.concat(*[f"__surface{n}" for n in sizes]).alias("variant")
+    )
+    places = explode_values(runs, [RID], aligned, "s").select(RID, F.col("s")["phrase"].alias("phrase"), F.col("s")["variant"].alias("variant"))
+    return places.where(F.col("phrase").isin(list(phrases)))
+
+
+def variants_of(occurrences: DataFrame) -> DataFrame:
     """`(phrase, variants)`: the most frequent ways in which each phrase is written."""
-    wanted = F.array(*[F.lit(p) for p in phrases])
-    pairs = df.select(surface_words(text_or_empty(F.col(f"`{text_column}`"))).alias("p"))
-    size = F.size("p")
-    found = None
-    for n in range(low, high + 1):
-        # only word runs that are one of the phrases leave the row
-        starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-        runs = F.transform(starts, lambda i, n=n: F.slice("p", i, n))
-        made = F.transform(runs, lambda r: F.struct(
-            F.array_join(r["norm"], " ").alias("phrase"), F.array_join(r["surface"], " ").alias("variant")))
-        part = F.filter(made, lambda s: F.array_contains(wanted, s["phrase"]))
-        found = part if found is None else F.concat(found, part)
-    counted = pairs.select(F.explode(found).alias("s")).groupBy("s.phrase", "s.variant").agg(F.count(F.lit(1)).alias("n"))
+    counted = occurrences.groupBy("phrase", "variant").agg(F.count(F.lit(1)).alias("n"))
     best = top_n_per_group(counted, ["phrase"], [F.desc("n"), F.col("variant")], fixed.EXAMPLE_ROWS, F.col("variant"))
     ordered = F.array_sort(F.collect_list(F.struct("rank", "variant")))
     return best.groupBy("phrase").agg(F.transform(ordered, lambda s: s["variant"]).alias("variants"))
@@ -167,8 +176,10 @@ def mine_phrases(df: DataFrame, text_column: str, where: str | None = None, pare
             F.array().cast("array<string>").alias("variants"), F.array().cast("array<bigint>").alias("example_rids"),
             F.lit("").alias("parent_angle"),
         )
-    examples = examples_of(scope, text_column, phrases, low, high)
-    variants = variants_of(scope, text_column, phrases, low, high)
+    # the texts are cut once more; what is left of them is only the places of these phrases
+    occurrences = stage(occurrences_of(scope, text_column, phrases), "phrase-places")
+    examples = _first_rows(occurrences.select("phrase", RID).distinct())
+    variants = variants_of(occurrences)
     parent = "" if parent_angle_value is None else str(parent_angle_value)
     return (
         top.join(examples, "phrase", "left").join(variants, "phrase", "left")

@@ -23,11 +23,16 @@ def is_hot(n: int, total: int) -> bool:
     return n > max(HOT_MIN_ROWS, total // HOT_SHARE)
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n_rows") -> DataFrame | None:
-    """Keys of a `(key, n)` table that hold more than 1/HOT_SHARE of the rows, or None if there are none."""
-    sizes = counts.agg(F.sum(n).alias("total"), F.max(n).alias("largest")).first()
-    total = sizes["total"] or 0
-    if not is_hot(sizes["largest"] or 0, total):
+def hot_keys(counts: DataFrame, key: str, n: str = "n_rows", total: int | None = None,
+             largest: int | None = None) -> DataFrame | None:
+    """Keys of a `(key, n)` table that hold more than 1/HOT_SHARE of the rows, or None if there are none.
+
+    `total` and `largest` save a pass over the counts where they are known.
+    """
+    if total is None or largest is None:
+        sizes = counts.agg(F.sum(n).alias("total"), F.max(n).alias("largest")).first()
+        total, largest = sizes["total"] or 0, sizes["largest"] or 0
+    if not is_hot(largest, total):
         return None
     return counts.where(F.col(n) > F.lit(max(HOT_MIN_ROWS, total // HOT_SHARE))).select(key)
 

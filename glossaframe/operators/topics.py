@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, values
-from ..functions.text import text_or_empty, words
+from ..functions.text import explode_values, text_or_empty, words
 from ..scratch import stage
 from ..sources.row_ids import RID
 from .enrich import check_columns, check_identifier
@@ -24,9 +24,8 @@ def class_keywords(df: DataFrame, class_column: str, text_column: str, n: int =
 
     score = count of the term in the class * ln(1 + mean words per class / count of the term in all).
     """
-    terms = df.where(F.col(class_column).isNotNull()).select(
-        F.col(class_column).alias("class"), F.explode(words(text_or_empty(F.col(text_column)))).alias("term")
-    )
+    classed = df.where(F.col(class_column).isNotNull())
+    terms = explode_values(classed, [F.col(class_column).alias("class")], words(text_or_empty(F.col(text_column))), "term")
     counts = stage(terms.groupBy("class", "term").agg(F.count(F.lit(1)).alias("tf")), "class-terms")
     per_class = counts.agg((F.sum("tf") / F.count_distinct("class")).alias("a")).first()["a"] or 0.0
     totals = counts.groupBy("term").agg(F.sum("tf").alias("total"))

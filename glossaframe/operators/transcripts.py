@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, values
-from ..functions.text import lines, text_or_empty
+from ..functions.text import explode_values, lines, number_lines, text_or_empty
 from ..scratch import stage
 from .skew import hot_keys, join_skewed, top_n_per_group
 
@@ -83,11 +83,10 @@ def keep_recent_digest(messages: DataFrame, keep: int = fixed.SUMMARY_KEEP, turn
 def key_info(messages: DataFrame) -> DataFrame:
     """`(conv_id, info)`: the first 20 distinct path-like words in order, and the first 5 lines with an error."""
     text = text_or_empty(F.col("text"))
-    found = messages.select(CONV, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(fixed.PATH_PATTERN), 0))).alias("item"))
+    found = explode_values(messages, [CONV], F.array_distinct(F.regexp_extract_all(text, F.lit(fixed.PATH_PATTERN), 0)), "item")
     paths = top_n_per_group(found.distinct(), [CONV], [F.col("item")], fixed.KEY_PATHS, F.col("item"))
     wrong = (
-        messages.where(F.lower(text).contains("error"))
-        .select(CONV, TURN, F.posexplode(lines(text)).alias("pos", "line"))
+        number_lines(messages.where(F.lower(text).contains("error")), [CONV, TURN], text)
         .where(F.lower("line").contains("error"))
         .select(CONV, TURN, "pos", F.substring(F.regexp_replace("line", r"^\s+|\s+$", ""), 1, fixed.KEY_ERROR_CHARS).alias("item"))
     )

@@ -69,8 +69,9 @@ def key_info_sql(source: str) -> str:
     return rf"""
 base AS ({source}),
 paths AS (SELECT conv_id, string_agg(item, ', ' ORDER BY item) AS p FROM (
-  SELECT DISTINCT conv_id, unnest(regexp_extract_all(text, '{fixed.PATH_PATTERN}')) AS item FROM base
-  QUALIFY dense_rank() OVER (PARTITION BY conv_id ORDER BY item) <= 20) GROUP BY conv_id),
+  SELECT conv_id, item FROM (SELECT DISTINCT conv_id, item FROM (
+    SELECT conv_id, unnest(regexp_extract_all(text, '{fixed.PATH_PATTERN}')) AS item FROM base))
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY item) <= 20) GROUP BY conv_id),
 found AS (SELECT conv_id, turn, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT conv_id, turn, {LINES} AS l FROM base)),
 errors AS (SELECT conv_id, string_agg(item, '; ' ORDER BY turn, pos) AS e FROM (
   SELECT conv_id, turn, pos, substr(regexp_replace(line, '^\s+|\s+$', '', 'g'), 1, 150) AS item FROM found

@@ -25,7 +25,7 @@ def cosine_pairs(spark, sf_dir):
 
 
 @query("nearest_neighbours", """
-SELECT query_id, vec_id, rank, round(sim, 6) AS similarity FROM (
+SELECT query_id, vec_id, rank, round(round(sim, 9), 6) AS similarity FROM (
   SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS sim,
     CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS INTEGER) AS rank
   FROM embeddings q, embeddings e WHERE q.vec_id <> e.vec_id) WHERE rank <= 3""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import lines
+from ..functions.text import number_lines
 
 
 def grep(df: DataFrame, pattern: str, id_column: str, text_column: str, limit: int | None = None) -> DataFrame:
@@ -14,12 +14,12 @@ def grep(df: DataFrame, pattern: str, id_column: str, text_column: str, limit: i
     All matches by default. With `limit`, the first ones by id and line number.
     """
     found = (
-        df.select(F.col(id_column), F.posexplode(lines(F.col(text_column))).alias("__pos", "__line"))
-        .where(F.col("__line").rlike(pattern))
+        number_lines(df, [F.col(id_column).alias("__id")], F.col(text_column))
+        .where(F.col("line").rlike(pattern))
         .select(
-            id_column,
-            (F.col("__pos") + 1).cast("bigint").alias("line_no"),
-            F.regexp_replace("__line", r"\s+$", "").alias("line"),
+            F.col("__id").alias(id_column),
+            (F.col("pos") + 1).cast("bigint").alias("line_no"),
+            F.regexp_replace("line", r"\s+$", "").alias("line"),
         )
     )
     return found if limit is None else found.orderBy(id_column, "line_no").limit(limit)
