@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +14,8 @@ from . import fixed
 # letters and digits of any script; everything else separates words
 NON_WORD = r"[^\p{L}\p{N}]+"
 EDGE_PUNCTUATION = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+# the same for all words of a text at once: punctuation next to white space or an end of the text
+EDGE_PUNCTUATION_IN_TEXT = r"(?<=^|\s)[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?=\s|\z)"
 
 
 def text_or_empty(column: Column) -> Column:
@@ -34,12 +39,17 @@ def single_line(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), NON_WORD, " "), " "), lambda w: F.length(w) > 0)
+    """Lower-cased words: runs of letters and digits."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), NON_WORD, " "), " "), "")
+
+
+def norm_words(text: Column) -> Column:
+    """The words between white space, lower-cased, without the punctuation around them."""
+    return F.array_remove(F.split(F.lower(F.regexp_replace(text, EDGE_PUNCTUATION_IN_TEXT, "")), r"\s+"), "")
 
 
 def surface_words(text: Column) -> Column:
-    """`(surface, norm)` for each word: as written, and lower-cased without the punctuation around it."""
+    """`(surface, norm)` for each word: as written, and as `norm_words` has it."""
     pairs = F.transform(
         F.split(text, r"\s+"),
         lambda w: F.struct(w.alias("surface"), F.lower(F.regexp_replace(w, EDGE_PUNCTUATION, "")).alias("norm")),
@@ -49,10 +59,12 @@ def surface_words(text: Column) -> Column:
 
 def with_ngrams(df: DataFrame, tokens: str, out: str, low: int, high: int) -> DataFrame:
     """Add every distinct run of `low`..`high` consecutive tokens, joined by a blank."""
-    parts = [f"__gram{n}" for n in range(low, high + 1)]
-    for n, part in zip(range(low, high + 1), parts):
-        df = NGram(n=n, inputCol=tokens, outputCol=part).transform(df)
-    return df.withColumn(out, F.array_distinct(F.concat(*parts))).drop(*parts)
+    made = []
+    for n in range(max(2, low), high + 1):
+        made.append(f"__gram{n}")
+        df = NGram(n=n, inputCol=tokens, outputCol=made[-1]).transform(df)
+    parts = ([tokens] if low == 1 else []) + made
+    return df.withColumn(out, F.array_distinct(F.concat(*parts))).drop(*made)
 
 
 def explode_values(df: DataFrame, keep: list, array: Column, name: str) -> DataFrame:
@@ -69,10 +81,23 @@ def number_lines(df: DataFrame, keep: list, text: Column) -> DataFrame:
     return df.select(*keep, F.posexplode_outer(lines(text)).alias("pos", "line")).where(F.col("line").isNotNull())
 
 
-def _contains_any(text: Column, needles: list[str], whole_words: bool) -> Column:
+def contains_any(text: Column, needles: list[str]) -> Column:
+    """Plain substring tests, which are much cheaper than an alternation in a regular expression."""
+    return reduce(lambda a, b: a | b, [text.contains(n) for n in needles])
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Whether a pattern is found. Alternatives without special characters are tested as substrings."""
+    if re.fullmatch(r"[\w @#&:;,<>=/'\"-]+(?:\|[\w @#&:;,<>=/'\"-]+)*", pattern):
+        return contains_any(text, pattern.split("|"))
+    return text.rlike(pattern)
+
+
+def _has_word(text: Column, needles: list[str], whole_words: bool) -> Column:
+    found = contains_any(text, needles)
     if whole_words:
-        return text.rlike(r"(?:^|[^\p{L}\p{N}_])(?:" + "|".join(needles) + r")(?:[^\p{L}\p{N}_]|$)")
-    return text.rlike("|".join(needles))
+        found = found & text.rlike(r"(?:^|[^\p{L}\p{N}_])(?:" + "|".join(needles) + r")(?:[^\p{L}\p{N}_]|$)")
+    return found
 
 
 def infer_polarity(*parts: Column, phrases: bool = False, whole_words: bool = False) -> Column:
@@ -83,8 +108,8 @@ def infer_polarity(*parts: Column, phrases: bool = False, whole_words: bool = Fa
     """
     text = F.lower(F.concat_ws(" ", *[text_or_empty(p) for p in parts]))
     negative = fixed.NEGATIVE_PHRASE_WORDS if phrases else fixed.NEGATIVE_WORDS
-    return F.when(_contains_any(text, negative, whole_words), "negative").when(
-        _contains_any(text, fixed.POSITIVE_WORDS, whole_words), "positive"
+    return F.when(_has_word(text, negative, whole_words), "negative").when(
+        _has_word(text, fixed.POSITIVE_WORDS, whole_words), "positive"
     )
 
 

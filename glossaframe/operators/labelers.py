@@ -10,6 +10,7 @@ Spark ML transformers: their rows never leave the JVM. Python models get Arrow b
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import text_or_empty, words
+from ..functions.text import matches, text_or_empty, words
 
 
 def with_batches(df: DataFrame, source: str, out: str, out_type: T.DataType,
@@ -56,15 +57,13 @@ class RuleLabeler:
 
     @staticmethod
     def _answer(value) -> Column:
-        import json
-
         return F.lit(json.dumps({"value": value}, ensure_ascii=False))
 
     def label(self, df: DataFrame, payload: str, out: str) -> DataFrame:
         text = F.lower(F.col(payload))
         answer = None
         for pattern, value in self.rules:
-            test = text.rlike(pattern)
+            test = matches(text, pattern)
             answer = F.when(test, self._answer(value)) if answer is None else answer.when(test, self._answer(value))
         fallback = self._answer(self.default)
         return df.withColumn(out, fallback if answer is None else answer.otherwise(fallback))

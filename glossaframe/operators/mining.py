@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, keys
-from ..functions.text import explode_values, polarity_of, surface_words, text_or_empty, with_ngrams
+from ..functions.text import explode_values, norm_words, polarity_of, surface_words, text_or_empty, with_ngrams
 from ..scratch import stage
 from ..sources.row_ids import RID
 from .enrich import check_choice, check_columns
 from .filters import drill_down
 from .sampling import sample_rows
-from .skew import top_n_per_group
+from .skew import spread_small, top_n_per_group
 
 # Hash buckets of the pruning pass. The table of heavy buckets never has more rows than this.
 PRUNE_BUCKETS = 1 << 20
@@ -24,7 +24,7 @@ PRUNE_FROM_ROWS = 1_000_000
 
 def _with_grams(df: DataFrame, text_column: str, low: int, high: int) -> DataFrame:
     """`_rid` and the distinct word runs of each row."""
-    tokens = F.transform(surface_words(text_or_empty(F.col(f"`{text_column}`"))), lambda p: p["norm"])
+    tokens = norm_words(text_or_empty(F.col(f"`{text_column}`")))
     return with_ngrams(df.select(RID, tokens.alias("__tokens")), "__tokens", "__grams", low, high).select(RID, "__grams")
 
 
@@ -113,6 +113,7 @@ def mine_taxonomy(df: DataFrame, text_column: str, where: str | None = None, max
         raise ValueError("max_categories must be positive")
     scope = df.where(F.expr(where)) if where else df
     rows = _scope_size(scope)
+    scope = spread_small(scope.select(RID, text_column), rows)
     least, most = _least_support(rows, min_support), int(rows * max_share)
     high = 1 if taxonomy_shape == "flat" else 3
     supports = phrase_support(scope, text_column, 1, high, least, prune=high > 1 and rows >= PRUNE_FROM_ROWS)
@@ -160,6 +161,7 @@ def mine_phrases(df: DataFrame, text_column: str, where: str | None = None, pare
         raise ValueError("max_phrases must be positive")
     scope = drill_down(df, where, parent_angle_column, parent_angle_value)
     rows = _scope_size(scope)
+    scope = spread_small(scope.select(RID, text_column), rows)
     supports = phrase_support(
         scope, text_column, low, high, _least_support(rows, min_support),
         prune=rows >= PRUNE_FROM_ROWS if prune is None else prune,

@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import stage
 from ..sources.row_ids import RID
 from .enrich import check_choice, check_columns
 from .filters import pick_rows
 from .similarity import column_matrix, unit_rows
-from .skew import top_n_per_group
+from .skew import spread_small, top_n_per_group
 
 # Up to this many rows are picked by a top-n merge on the driver side; larger samples by a hash cut-off.
 TOP_N_ROWS = 50_000
@@ -140,9 +141,9 @@ def sample_rows(df: DataFrame, sample_size: int, where: str | None = None, metho
     if vector_column is None:
         if not text_column or encoder is None:
             raise ValueError("method='diverse' needs a vector column, or a text column and an encoder")
-        from ..scratch import stage
-
         check_columns(df, [text_column])
-        vectors = stage(encoder.encode(scope.select("_rid", text_column), text_column, "__vector").select("_rid", "__vector"), "vectors")
+        texts = spread_small(scope.select(RID, text_column), scope.count())
+        # written, because every pass of the greedy choice reads the vectors again
+        vectors = stage(encoder.encode(texts, text_column, "__vector").select(RID, "__vector"), "vectors")
         return pick_rows(scope, sample_diverse(vectors, sample_size, "__vector"))
     return pick_rows(scope, sample_diverse(scope, sample_size, vector_column))

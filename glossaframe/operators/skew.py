@@ -19,6 +19,18 @@ def fan_out(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+# A table of fewer rows may sit in a single row group, which one task would read alone.
+SMALL_TABLE_ROWS = 1_000_000
+
+
+def spread_small(df: DataFrame, rows: int) -> DataFrame:
+    """Deal the rows of a small table over all cores before costly work per row. Large tables stay as they lie:
+    their scans have more partitions than there are cores."""
+    if rows >= SMALL_TABLE_ROWS:
+        return df
+    return df.repartition(max(1, min(df.sparkSession.sparkContext.defaultParallelism, rows)))
+
+
 def is_hot(n: int, total: int) -> bool:
     return n > max(HOT_MIN_ROWS, total // HOT_SHARE)
 

@@ -16,7 +16,7 @@ from ..scratch import stage
 from ..sources.row_ids import RID
 from .enrich import check_columns, check_identifier
 from .similarity import best_prototype, unit_rows
-from .skew import top_n_per_group
+from .skew import spread_small, top_n_per_group
 
 
 def class_keywords(df: DataFrame, class_column: str, text_column: str, n: int = fixed.TOPIC_KEYWORDS) -> DataFrame:
@@ -82,15 +82,15 @@ def discover_topics(df: DataFrame, text_column: str, where: str | None = None, n
         raise ValueError("topics need an encoder or a vector column")
     spark = df.sparkSession
     scope = df.where(F.expr(where)) if where else df
+    rows = scope.count()
+    if rows < fixed.MIN_TOPIC_ROWS:
+        raise ValueError(f"only {rows} rows after filter: need at least {fixed.MIN_TOPIC_ROWS} for clustering")
     if vector_column is None:
-        vectors = encoder.encode(scope.select(RID, text_column), text_column, "__v")
+        vectors = encoder.encode(spread_small(scope.select(RID, text_column), rows), text_column, "__v")
     else:
         vectors = scope.select(RID, text_column, F.col(vector_column).alias("__v"))
     has_length = F.coalesce(F.exists("__v", lambda x: x != 0), F.lit(False))
     vectors = stage(vectors.select(RID, F.col(text_column).alias("text"), "__v", has_length.alias("__usable")), "topic-vectors")
-    rows = vectors.count()
-    if rows < fixed.MIN_TOPIC_ROWS:
-        raise ValueError(f"only {rows} rows after filter: need at least {fixed.MIN_TOPIC_ROWS} for clustering")
     k = n_topics or int(min(50, max(2, round((rows / 2) ** 0.5))))
     usable = vectors.where("__usable").select(array_to_vector("__v").alias("features"))
     model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=20).fit(usable)
