@@ -9,35 +9,39 @@ from ..sources.row_ids import RID
 from .loading import documents
 from .registry import query, read
 
-# distinct word runs of each row, as the library cuts them
-TOKENS = r"""w AS (SELECT doc_id + 1 AS rid, lang, list_filter(list_transform(string_split_regex(text, '\s+'),
-    lambda t: {{'surface': t, 'norm': lower(regexp_replace(t, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g'))}}),
-    lambda t: length(t.norm) > 0) AS toks FROM documents {where}),
+# the words of each row with those that follow them, and from these all word runs
+TOKENS = r"""w AS (SELECT doc_id + 1 AS rid, string_split_regex(text, '\s+') AS l FROM documents {where}),
+u AS (SELECT rid, unnest(l) AS surface, unnest(range(1, len(l) + 1)) AS pos FROM w),
+t AS (SELECT rid, pos, surface, lower(regexp_replace(surface, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')) AS norm FROM u),
+f AS (SELECT rid, norm AS n0, surface AS s0{leads} FROM t WHERE length(norm) > 0 WINDOW o AS (PARTITION BY rid ORDER BY pos)),
 runs AS ({runs})"""
 
 
-def _runs(low: int, high: int) -> str:
-    return " UNION ALL ".join(
-        f"SELECT rid, unnest(list_transform(range(1, greatest(len(toks) - {n - 1}, 0) + 1), lambda i: "
-        f"{{'norm': array_to_string(list_transform(toks[i:i + {n - 1}], lambda t: t.norm), ' '), "
-        f"'surface': array_to_string(list_transform(toks[i:i + {n - 1}], lambda t: t.surface), ' ')}})) AS run, {n} AS words FROM w"
-        for n in range(low, high + 1))
+def _with(low: int, high: int, where: str = "") -> str:
+    leads = "".join(f", lead(norm, {i}) OVER o AS n{i}, lead(surface, {i}) OVER o AS s{i}" for i in range(1, high))
 
+    def joined(letter: str, n: int) -> str:
+        return " || ' ' || ".join(f"{letter}{i}" for i in range(n))
 
-def _with(low: int, high: int, where: str = "") -> str:
-    return "WITH " + TOKENS.format(where=where, runs=_runs(low, high)) + """,
+    runs = " UNION ALL ".join(
+        f"SELECT rid, {joined('n', n)} AS norm, {joined('s', n)} AS surface, {n} AS words FROM f WHERE n{n - 1} IS NOT NULL"
+        for n in range(low, high + 1))
+    return "WITH " + TOKENS.format(where=where, leads=leads, runs=runs) + """,
 total AS (SELECT count(*) AS n FROM w),
-support AS (SELECT run.norm AS phrase, any_value(words) AS words, count(DISTINCT rid) AS support FROM runs GROUP BY run.norm)"""
+support AS (SELECT norm AS phrase, any_value(words) AS words, count(*) AS support
+  FROM (SELECT DISTINCT rid, norm, words FROM runs) GROUP BY norm)"""
 
 
-EXAMPLES = """(SELECT string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid) FROM (
-  SELECT DISTINCT rid FROM runs WHERE run.norm = label ORDER BY rid LIMIT 5))"""
+EXAMPLES = """examples AS (SELECT label, string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid) AS examples FROM (
+  SELECT label, rid FROM (SELECT DISTINCT label, rid FROM runs JOIN top ON norm = label)
+  QUALIFY row_number() OVER (PARTITION BY label ORDER BY rid) <= 5) GROUP BY label)"""
 
 
 @query("taxonomy_candidates", _with(1, 1) + f""",
 top AS (SELECT phrase AS label, support FROM support, total WHERE support <= floor(n * 0.5) AND support >= greatest(2, n // 1000)
-  AND length(phrase) >= 4 ORDER BY support DESC, phrase LIMIT 8)
-SELECT label, support, concat('found in ', support, ' rows') AS definition, {EXAMPLES} AS examples FROM top""")
+  AND length(phrase) >= 4 ORDER BY support DESC, phrase LIMIT 8),
+{EXAMPLES}
+SELECT label, support, concat('found in ', support, ' rows') AS definition, examples FROM top JOIN examples USING (label)""")
 def taxonomy_candidates(spark, sf_dir):
     found = mining.mine_taxonomy(documents(spark, sf_dir), "text")
     return found.select("label", "support", "definition", F.array_join(F.col("example_rids").cast("array<string>"), ",").alias("examples"))
@@ -57,11 +61,12 @@ def taxonomy_hierarchical(spark, sf_dir):
 
 PHRASES = _with(2, 6, "WHERE lang = 'en' AND n_chars > 100") + f""",
 top AS (SELECT phrase AS label, support, words FROM support, total WHERE support <= greatest(1, floor(n * 0.5)) AND support >= greatest(2, n // 1000)
-  ORDER BY support DESC, words DESC, phrase LIMIT 10)
-SELECT label, support, {EXAMPLES} AS examples, 'en' AS parent_angle,
-  (SELECT string_agg(surface, '|' ORDER BY c DESC, surface) FROM (
-    SELECT run.surface AS surface, count(*) AS c FROM runs WHERE run.norm = label GROUP BY run.surface ORDER BY c DESC, surface LIMIT 5)) AS variants
-FROM top"""
+  ORDER BY support DESC, words DESC, phrase LIMIT 10),
+{EXAMPLES},
+variants AS (SELECT label, string_agg(surface, '|' ORDER BY c DESC, surface) AS variants FROM (
+  SELECT label, surface, count(*) AS c FROM runs JOIN top ON norm = label GROUP BY label, surface
+  QUALIFY row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, surface) <= 5) GROUP BY label)
+SELECT label, support, examples, 'en' AS parent_angle, variants FROM top JOIN examples USING (label) JOIN variants USING (label)"""
 
 
 def _phrases(spark, sf_dir, prune: bool):
