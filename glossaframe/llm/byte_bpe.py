@@ -20,7 +20,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,7 +78,7 @@ class RankLiterals:
         pair = [[ranks.get(bytes([a, b]), NO_RANK) << 16 | ranks[bytes([a])] for b in range(256)] for a in range(256)]
         values = {"first": first, "second": second, "of_byte": of_byte, "of_two": np.array(pair, np.int64).reshape(-1)}
         name = f"bpe_{uuid.uuid4().hex[:8]}"
-        spark.createDataFrame(pd.DataFrame({k: [v] for k, v in values.items()}), ", ".join(f"{k} array<bigint>" for k in values)).createOrReplaceTempView(name)
+        spark.createDataFrame(pa.table({k: pa.array([v], pa.list_(pa.int64())) for k, v in values.items()})).createOrReplaceTempView(name)
         for key in values:
             spark.sql(f"DECLARE OR REPLACE VARIABLE {name}_{key} ARRAY<BIGINT>")
             spark.sql(f"SET VAR {name}_{key} = (SELECT {key} FROM {name})")
