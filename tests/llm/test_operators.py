@@ -365,7 +365,7 @@ def plain_lines(rows):
     forms = list(first)
     sims = []
     for form in forms:
-        hashes = [xxhash.xxh64_intdigest(w.encode()) for w in form.split(" ")]
+        hashes = [xxhash.xxh64_intdigest(w.encode()) for w in set(form.split(" "))]
         sims.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
     values = np.array(sims, np.uint64)
 
