@@ -15,8 +15,8 @@ piece is encoded in its document, once for each document.
 from __future__ import annotations
 
 import base64
-import hashlib
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,6 +127,11 @@ def merged(piece: Column, literals: RankLiterals) -> Column:
     return F.when(n > 0, ids).otherwise(F.array().cast("array<int>"))
 
 
+def pieces_of(stretch: str, find) -> list[str]:
+    """The pattern's matches. A word, or a space and a word, is one match of any pattern that takes letters together."""
+    return [stretch] if stretch.isalpha() or stretch[:1] == " " and stretch[1:].isalpha() else find(stretch)
+
+
 def piece_counts(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
     """(piece, n): how often each distinct piece of at most LONGEST_SENT bytes occurs, over all texts.
 
@@ -138,12 +143,12 @@ def piece_counts(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
 
         import regex
 
-        cutter, stretches = regex.compile(pattern), Counter()
+        find, stretches = regex.compile(pattern).findall, Counter()
 
         def handed_on():
             found: Counter = Counter()
             for stretch, n in stretches.items():
-                for piece in cutter.findall(stretch):
+                for piece in pieces_of(stretch, find):
                     found[piece] += n
             stretches.clear()
             return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["piece", "n"])
@@ -190,8 +195,9 @@ class SentPieces:
         self.hashes = hashes[order]
         data = [pieces[i].encode() for i in order]
         self.data, self.ids = b"".join(data), b"".join(ids[i] for i in order)
-        self.ends = np.cumsum([0, *map(len, data)])
-        self.id_ends = np.cumsum([0, *(len(ids[i]) for i in order)])
+        # arrays of the array module: small, and their items are plain integers
+        self.ends = array("q", np.cumsum([0, *map(len, data)]).tobytes())
+        self.id_ends = array("q", np.cumsum([0, *(len(ids[i]) for i in order)]).tobytes())
 
     @staticmethod
     def _hash(data: bytes) -> int:
@@ -203,12 +209,15 @@ class SentPieces:
         """Each piece's ids, None for one that is not here. Equal hashes are told apart by their bytes."""
         data = [p.encode("utf-8", "surrogatepass") for p in pieces]
         wanted = np.array([self._hash(d) for d in data], np.uint64)
-        found: list[bytes | None] = []
-        for d, h, k in zip(data, wanted.tolist(), np.searchsorted(self.hashes, wanted).tolist()):
-            while k < len(self.hashes) and self.hashes[k] == h and self.data[self.ends[k]: self.ends[k + 1]] != d:
+        at = np.searchsorted(self.hashes, wanted)
+        here = np.zeros(len(data), bool) if not len(self.hashes) else self.hashes[np.minimum(at, len(self.hashes) - 1)] == wanted
+        found: list[bytes | None] = [None] * len(data)
+        for i, k in zip(np.flatnonzero(here).tolist(), at[here].tolist()):
+            while k < len(self.hashes) and self.hashes[k] == wanted[i]:
+                if self.data[self.ends[k]: self.ends[k + 1]] == data[i]:
+                    found[i] = self.ids[self.id_ends[k]: self.id_ends[k + 1]]
+                    break
                 k += 1
-            here = k < len(self.hashes) and self.hashes[k] == h
-            found.append(self.ids[self.id_ends[k]: self.id_ends[k + 1]] if here else None)
         return found
 
 
@@ -243,34 +252,38 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        cutter, memo = regex.compile(pattern), {}
+        find, memo, lacking = regex.compile(pattern).findall, {}, {}
         for batch in batches:
             texts = [led_by_space(t or "") for t in batch.column(1).to_pylist()]
             wanted = set().union(*texts)
             new = wanted.difference(memo)
             if len(memo) + len(new) > MOST_COUNTED:
                 memo.clear()
+                lacking.clear()
                 new = wanted
-            cuts = {s: cutter.findall(s) for s in new}
+            cuts = {s: pieces_of(s, find) for s in new}
             pieces = list(set().union(*cuts.values()))
             known = dict(zip(pieces, sent.value.find(pieces)))
+            for piece, ids in known.items():
+                if ids is None:  # its place among the lacking ones stands for it
+                    known[piece] = (UNKNOWN + lacking.setdefault(piece, len(lacking))).to_bytes(4, "little")
             for s, parts in cuts.items():
-                ids = [known[p] for p in parts]
-                memo[s] = tuple(zip(parts, ids)) if None in ids else b"".join(ids)
-            ready, lacking = [], []
+                memo[s] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+            names, ready, rare = list(lacking), [], []
             for stretches in texts:
-                rare: dict[str, int] = {}
-                parts = []
-                for found in map(memo.__getitem__, stretches):
-                    if type(found) is bytes:
-                        parts.append(found)
-                    else:
-                        parts += [ids or (UNKNOWN + rare.setdefault(p, len(rare))).to_bytes(4, "little") for p, ids in found]
-                ready.append(b"".join(parts))
-                lacking.append(list(rare))
-            ends = pa.array(np.cumsum([0, *map(len, lacking)]), pa.int32())
+                packed = b"".join(map(memo.__getitem__, stretches))
+                ids = np.frombuffer(packed, "<u4")
+                at = np.flatnonzero(ids >= UNKNOWN)
+                which, places = np.unique(ids[at], return_inverse=True)
+                if len(at):
+                    ids = ids.copy()
+                    ids[at] = places + UNKNOWN
+                    packed = ids.tobytes()
+                ready.append(packed)
+                rare.append([names[k - UNKNOWN] for k in which.tolist()])
+            ends = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ready, pa.binary()), pa.ListArray.from_arrays(
-                ends, byte_arrays([p for some in lacking for p in some]))], ["id", "ids", "rare"])
+                ends, byte_arrays([p for some in rare for p in some]))], ["id", "ids", "rare"])
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tokens() -> list[bytes]:
