@@ -116,7 +116,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packed = lambda digests: F.unhex(F.array_join(F.transform(F.flatten(F.flatten(digests)), lambda d: F.substring(d, 1, SHORT)), ""))
     heads = mine.join(sent, "key").select(F.col("to").alias("key"), F.struct(
         F.substring(F.col("text"), F.lit(1), F.col("k")).alias("head"), packed(tree(F.col("text"))).alias("runs"),
-        F.col("key").alias("from")).alias("next"))
+        F.col("key").alias("from"), F.col("id").alias("from_id")).alias("next"))  # the id too: both joins then read one shuffle
     heads = heads.groupBy("key").agg(F.any_value("next").alias("next"))
     joined = mine.join(heads, "key").withColumn("n_chars", F.char_length("text").cast("long"))
     kept = (F.col("n_chars") - F.floor(F.col("n_chars") / share)).cast("int")
