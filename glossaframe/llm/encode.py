@@ -18,7 +18,7 @@ BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 IRREGULAR = re.compile(rf"[{BLANK}]{{2}}|[^\S \n]|[\0\x85\x1c-\x1f]|^[{BLANK}]|[{BLANK}]\Z")
 STRETCH = re.compile(rf" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]")
 # distinct stretches whose ids a worker keeps at once; beyond that it starts anew, with the same results
-MOST_KEPT = 1 << 19
+MOST_KEPT = 1 << 20
 
 
 def led_by_space(text: str) -> list[str]:
