@@ -1,14 +1,15 @@
 """The memo of judgements: a Parquet dataset of batches and a small log of what happened to it.
 
-Layout below the root: `data/batch_id=<n>/table_name=<t>/column_name=<c>/` holds one batch per run, and
-`log/` one JSON row per change. A batch counts only once its log row is written, so a crash leaves the
-former state readable. Deleting adds a log row with the filter and touches no data until `compact`.
+Layout below the root: `data/batch_id=<n>-<random>/table_name=<t>/column_name=<c>/` holds one batch per run, and
+`log/` one JSON row per change, which names its batch. A batch counts only once its log row is written, and no two
+runs use the same folder, so a crash leaves the former state readable and writable. Deleting adds a log row with the filter and touches no data until `compact`.
 One writer at a time; any number of readers.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -23,7 +24,7 @@ ENTRY_SCHEMA = (
     "batch_id string, table_name string, column_name string"
 )
 ENTRY_COLUMNS = [field.split()[0] for field in ENTRY_SCHEMA.split(", ")]
-LOG_SCHEMA = "version bigint, action string, filters string"
+LOG_SCHEMA = "version bigint, action string, filters string, batch string"
 FILTERS = ("table_name", "column_name", "tool_name", "goal", "model")
 GROUP = ["table_name", "column_name", "tool_name", "goal", "model", "schema_hash", "source_columns"]
 
@@ -49,11 +50,13 @@ class JudgementCache:
     def _log(self) -> list:
         try:
             return self.spark.read.schema(LOG_SCHEMA).json(f"{self.root}/log").orderBy("version").collect()
-        except AnalysisException:  # nothing written yet
-            return []
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":  # nothing written yet; anything else must not look like that
+                return []
+            raise
 
-    def _commit(self, version: int, action: str, filters: dict | None = None) -> None:
-        row = [(version, action, json.dumps(filters or {}))]
+    def _commit(self, version: int, action: str, filters: dict | None = None, batch: str | None = None) -> None:
+        row = [(version, action, json.dumps(filters or {}), batch)]
         self.spark.createDataFrame(row, LOG_SCHEMA).coalesce(1).write.mode("append").json(f"{self.root}/log")
 
     def _next_version(self) -> int:
@@ -61,7 +64,8 @@ class JudgementCache:
 
     @staticmethod
     def _batch(version: int) -> str:
-        return f"{version:010d}"
+        """Sorts after all batches of lower versions; no other run makes the same."""
+        return f"{version:010d}-{uuid.uuid4().hex[:12]}"
 
     # ---- reading ------------------------------------------------------------------------------------------
 
@@ -69,11 +73,11 @@ class JudgementCache:
         """Live entries, the latest per key. Takes the filters of `status`."""
         log = self._log()
         start = max((r["version"] for r in log if r["action"] == "replace"), default=0)
-        batches = [r["version"] for r in log if r["action"] in ("add", "replace") and r["version"] >= start]
+        batches = [r["batch"] or f"{r['version']:010d}" for r in log if r["action"] in ("add", "replace") and r["version"] >= start]
         if not batches:
             return self.spark.createDataFrame([], ENTRY_SCHEMA)
         data = f"{self.root}/data"
-        paths = [f"{data}/batch_id={self._batch(v)}" for v in batches]
+        paths = [f"{data}/batch_id={batch}" for batch in batches]
         live = self.spark.read.schema(ENTRY_SCHEMA).option("basePath", data).parquet(*paths)
         wanted = _filters(**filters)
         # a key holds the table name but not the column name or goal: only the table may be cut before the
@@ -82,7 +86,7 @@ class JudgementCache:
             live = live.where(_matches({"table_name": wanted["table_name"]}))
         for row in log:
             if row["action"] == "delete" and row["version"] > start:
-                gone = (F.col("batch_id") < F.lit(self._batch(row["version"]))) & _matches(json.loads(row["filters"]))
+                gone = (F.col("batch_id") < F.lit(f"{row['version']:010d}")) & _matches(json.loads(row["filters"]))
                 live = live.where(~gone)
         if len(batches) > 1:  # keys are unique inside a batch
             others = [c for c in ENTRY_COLUMNS if c != "cache_key"]
@@ -132,8 +136,9 @@ class JudgementCache:
             F.lit(source_columns).alias("source_columns"), F.current_timestamp().alias("created_at"),
             F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
         )
-        batch.write.partitionBy("table_name", "column_name").parquet(f"{self.root}/data/batch_id={self._batch(version)}")
-        self._commit(version, "add")
+        name = self._batch(version)
+        batch.write.partitionBy("table_name", "column_name").parquet(f"{self.root}/data/batch_id={name}")
+        self._commit(version, "add", batch=name)
 
     def delete(self, table: str | None = None, column: str | None = None, tool_name: str | None = None,
                goal: str | None = None, model: str | None = None, all_entries: bool = False) -> int:
@@ -149,7 +154,6 @@ class JudgementCache:
     def compact(self) -> None:
         """Rewrite the live entries as a single batch."""
         version = self._next_version()
-        self.entries().drop("batch_id").write.partitionBy("table_name", "column_name").parquet(
-            f"{self.root}/data/batch_id={self._batch(version)}"
-        )
-        self._commit(version, "replace")
+        name = self._batch(version)
+        self.entries().drop("batch_id").write.partitionBy("table_name", "column_name").parquet(f"{self.root}/data/batch_id={name}")
+        self._commit(version, "replace", batch=name)

@@ -27,7 +27,7 @@ from ..functions.text import ellipsis, text_or_empty
 from ..scratch import stage
 from ..sources.row_ids import RID
 from .cache import JudgementCache
-from .skew import hot_keys, join_skewed, spread_small
+from .skew import hot_keys, join_skewed, spread
 
 HIT, LABELLED, EMBEDDED, SKIPPED, ERROR = "hit", "labelled", "embedded", "skipped", "error"
 RESERVED = {RID}
@@ -187,7 +187,7 @@ def run(df: DataFrame, *, row_content: Column, payload: Column, prompt: str, sch
         # row ids are unique, so this join has no hot key
         work = keyed.select(F.col(RID).alias("rep"), "payload").join(misses, "rep").select("cache_key", "payload", "rep", "n_rows")
     if not expression:
-        work = spread_small(work, total)
+        work = spread(work)
     answered = stage(judge(work).select("cache_key", "rep", "n_rows", "raw", "status"), "answers")
     judged = with_status(answered.withColumn("value_json", values.answer_value_json(F.col("raw")))).drop("raw")
 

@@ -15,11 +15,10 @@ from ..sources.row_ids import RID
 from .enrich import check_choice, check_columns
 from .filters import drill_down
 from .sampling import sample_rows
-from .skew import spread_small, top_n_per_group
+from .skew import spread, top_n_per_group
 
 # Hash buckets of the pruning pass. The table of heavy buckets never has more rows than this.
 PRUNE_BUCKETS = 1 << 20
-PRUNE_FROM_ROWS = 1_000_000
 
 
 def _with_grams(df: DataFrame, text_column: str, low: int, high: int) -> DataFrame:
@@ -94,17 +93,14 @@ def _scope_size(scope: DataFrame) -> int:
     return rows
 
 
-def _least_support(rows: int, min_support: int | None) -> int:
-    return min_support if min_support is not None else max(2, rows // 1000)
-
-
 def mine_taxonomy(df: DataFrame, text_column: str, where: str | None = None, max_categories: int = 8,
                   taxonomy_shape: str = "flat", max_parent_categories: int = 5, max_child_categories_per_parent: int = 5,
-                  min_support: int | None = None, max_share: float = 0.5, min_chars: int = 4,
+                  min_support: int = 2, max_share: float = 1.0, min_chars: int = 1,
                   include_other: bool = False) -> DataFrame:
     """`(parent, label, definition, support, example_rids)` from how many rows use which words, over all rows.
 
-    Flat: the most frequent words that are not in more than `max_share` of the rows. Hierarchical: such words
+    Words and runs in fewer than `min_support` rows are no candidates; nothing else is left out unless `max_share` (of
+    the rows) or `min_chars` say so. Flat: the most frequent words. Hierarchical: such words
     are parents, and the most frequent two- and three-word runs that hold a parent are its children.
     """
     check_columns(df, [RID, text_column])
@@ -113,10 +109,10 @@ def mine_taxonomy(df: DataFrame, text_column: str, where: str | None = None, max
         raise ValueError("max_categories must be positive")
     scope = df.where(F.expr(where)) if where else df
     rows = _scope_size(scope)
-    scope = spread_small(scope.select(RID, text_column), rows)
-    least, most = _least_support(rows, min_support), int(rows * max_share)
+    scope = spread(scope.select(RID, text_column))
+    most = int(rows * max_share)
     high = 1 if taxonomy_shape == "flat" else 3
-    supports = phrase_support(scope, text_column, 1, high, least, prune=high > 1 and rows >= PRUNE_FROM_ROWS)
+    supports = phrase_support(scope, text_column, 1, high, min_support, prune=high > 1)
     supports = stage(supports.withColumn("words", F.size(F.split("phrase", " "))), "phrase-support")
     terms = supports.where(
         (F.col("words") == 1) & (F.col("support") <= most) & (F.length("phrase") >= min_chars)
@@ -150,7 +146,7 @@ def mine_taxonomy(df: DataFrame, text_column: str, where: str | None = None, max
 
 def mine_phrases(df: DataFrame, text_column: str, where: str | None = None, parent_angle_column: str | None = None,
                  parent_angle_value=None, max_phrases: int = 10, low: int = 2, high: int = 6,
-                 min_support: int | None = None, max_share: float = 0.5, prune: bool | None = None) -> DataFrame:
+                 min_support: int = 2, max_share: float = 1.0, prune: bool = True) -> DataFrame:
     """`(label, definition, support, variants, example_rids, parent_angle)`: the most frequent phrases of all rows.
 
     A phrase is a run of `low`..`high` words, compared without case and outer punctuation; the ways it is
@@ -161,10 +157,9 @@ def mine_phrases(df: DataFrame, text_column: str, where: str | None = None, pare
         raise ValueError("max_phrases must be positive")
     scope = drill_down(df, where, parent_angle_column, parent_angle_value)
     rows = _scope_size(scope)
-    scope = spread_small(scope.select(RID, text_column), rows)
+    scope = spread(scope.select(RID, text_column))
     supports = phrase_support(
-        scope, text_column, low, high, _least_support(rows, min_support),
-        prune=rows >= PRUNE_FROM_ROWS if prune is None else prune,
+        scope, text_column, low, high, min_support, prune=prune,
     )
     size = F.size(F.split("phrase", " "))
     top = stage(

@@ -14,10 +14,8 @@ from ..sources.row_ids import RID
 from .enrich import check_choice, check_columns
 from .filters import pick_rows
 from .similarity import column_matrix, unit_rows
-from .skew import spread_small, top_n_per_group
+from .skew import spread, top_n_per_group
 
-# Up to this many rows are picked by a top-n merge on the driver side; larger samples by a hash cut-off.
-TOP_N_ROWS = 50_000
 # Candidates fetched per pass of the diverse sample.
 DIVERSE_CANDIDATES = 512
 
@@ -28,16 +26,14 @@ def random_order(seed: int, id_column: str = RID) -> Column:
 
 
 def sample_random(df: DataFrame, n: int, seed: int = 0, id_column: str = RID) -> DataFrame:
-    """`n` rows, the first in a seeded pseudo-random order.
+    """`n` rows, the first in a seeded pseudo-random order; the rows of the result are in no order.
 
-    For a large `n` a first pass over the ids counts rows per hash prefix; all rows below the cut-off prefix
+    A first pass over the ids counts rows per hash prefix; all rows below the cut-off prefix
     are taken where they lie, and only the rows of that one prefix are ordered.
     """
     if n <= 0:
         raise ValueError("sample size must be positive")
     order = random_order(seed, id_column)
-    if n <= TOP_N_ROWS:
-        return df.orderBy(order, id_column).limit(n)
     bucket = F.conv(F.substring(order, 1, 4), 16, 10).cast("int")
     counts = df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy("b").collect()  # at most 65536 rows
     taken, cut, rest = 0, None, 0
@@ -142,7 +138,7 @@ def sample_rows(df: DataFrame, sample_size: int, where: str | None = None, metho
         if not text_column or encoder is None:
             raise ValueError("method='diverse' needs a vector column, or a text column and an encoder")
         check_columns(df, [text_column])
-        texts = spread_small(scope.select(RID, text_column), scope.count())
+        texts = spread(scope.select(RID, text_column))
         # written, because every pass of the greedy choice reads the vectors again
         vectors = stage(encoder.encode(texts, text_column, "__vector").select(RID, "__vector"), "vectors")
         return pick_rows(scope, sample_diverse(vectors, sample_size, "__vector"))

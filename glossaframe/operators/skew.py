@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 # A key with more than 1/HOT_SHARE of all rows is hot, so there are never more than HOT_SHARE hot keys:
 # the list of them is small enough to broadcast whatever the size of the table.
 HOT_SHARE = 1024
-# Below this many rows a key is never worth splitting.
-HOT_MIN_ROWS = 100_000
 
 
 def fan_out(spark: SparkSession) -> int:
@@ -19,20 +17,14 @@ def fan_out(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-# A table of fewer rows may sit in a single row group, which one task would read alone.
-SMALL_TABLE_ROWS = 1_000_000
-
-
-def spread_small(df: DataFrame, rows: int) -> DataFrame:
-    """Deal the rows of a small table over all cores before costly work per row. Large tables stay as they lie:
-    their scans have more partitions than there are cores."""
-    if rows >= SMALL_TABLE_ROWS:
-        return df
-    return df.repartition(max(1, min(df.sparkSession.sparkContext.defaultParallelism, rows)))
+def spread(df: DataFrame, pieces: int | None = None) -> DataFrame:
+    """Deal the rows over `pieces` partitions (as many as a shuffle has) before costly work per row, whatever the
+    size of the table and the way its files are split."""
+    return df.repartition(pieces or fan_out(df.sparkSession))
 
 
 def is_hot(n: int, total: int) -> bool:
-    return n > max(HOT_MIN_ROWS, total // HOT_SHARE)
+    return n > max(1, total // HOT_SHARE)
 
 
 def hot_keys(counts: DataFrame, key: str, n: str = "n_rows", total: int | None = None,
@@ -46,7 +38,7 @@ def hot_keys(counts: DataFrame, key: str, n: str = "n_rows", total: int | None =
         total, largest = sizes["total"] or 0, sizes["largest"] or 0
     if not is_hot(largest, total):
         return None
-    return counts.where(F.col(n) > F.lit(max(HOT_MIN_ROWS, total // HOT_SHARE))).select(key)
+    return counts.where(F.col(n) > F.lit(max(1, total // HOT_SHARE))).select(key)
 
 
 def join_skewed(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, spread: Column,

@@ -16,7 +16,7 @@ from ..scratch import stage
 from ..sources.row_ids import RID
 from .enrich import check_columns, check_identifier
 from .similarity import best_prototype, unit_rows
-from .skew import spread_small, top_n_per_group
+from .skew import spread, top_n_per_group
 
 
 def class_keywords(df: DataFrame, class_column: str, text_column: str, n: int = fixed.TOPIC_KEYWORDS) -> DataFrame:
@@ -70,9 +70,11 @@ class Topics:
 
 def discover_topics(df: DataFrame, text_column: str, where: str | None = None, n_topics: int | None = None,
                     topic_id_column: str = "topic_id", topic_label_column: str = "topic_label", encoder=None,
-                    vector_column: str | None = None, labeler=None, outlier_share: float = 0.05, seed: int = 42) -> Topics:
+                    vector_column: str | None = None, labeler=None, outlier_share: float = 0.05, seed: int = 42,
+                    most_topics: int = 50) -> Topics:
     """Add a topic number and a topic name; `-1` and `other` for outliers, NULL outside the filter.
 
+    Without `n_topics` there are as many topics as the root of half the rows, at most `most_topics`.
     Outliers are rows without words and the given share of rows least similar to their centre.
     """
     check_columns(df, [RID, text_column] + ([vector_column] if vector_column else []))
@@ -86,12 +88,12 @@ def discover_topics(df: DataFrame, text_column: str, where: str | None = None, n
     if rows < fixed.MIN_TOPIC_ROWS:
         raise ValueError(f"only {rows} rows after filter: need at least {fixed.MIN_TOPIC_ROWS} for clustering")
     if vector_column is None:
-        vectors = encoder.encode(spread_small(scope.select(RID, text_column), rows), text_column, "__v")
+        vectors = encoder.encode(spread(scope.select(RID, text_column)), text_column, "__v")
     else:
         vectors = scope.select(RID, text_column, F.col(vector_column).alias("__v"))
     has_length = F.coalesce(F.exists("__v", lambda x: x != 0), F.lit(False))
     vectors = stage(vectors.select(RID, F.col(text_column).alias("text"), "__v", has_length.alias("__usable")), "topic-vectors")
-    k = n_topics or int(min(50, max(2, round((rows / 2) ** 0.5))))
+    k = n_topics or int(min(most_topics, max(2, round((rows / 2) ** 0.5))))
     usable = vectors.where("__usable").select(array_to_vector("__v").alias("features"))
     model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=20).fit(usable)
     centres = unit_rows(np.array(model.clusterCenters()))

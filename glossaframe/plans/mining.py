@@ -38,29 +38,35 @@ EXAMPLES = """examples AS (SELECT label, string_agg(CAST(rid AS VARCHAR), ',' OR
 
 
 @query("taxonomy_candidates", _with(1, 1) + f""",
-top AS (SELECT phrase AS label, support FROM support, total WHERE support <= floor(n * 0.5) AND support >= greatest(2, n // 1000)
+top AS (SELECT phrase AS label, support FROM support, total WHERE support <= floor(n * 0.5) AND support >= 2
   AND length(phrase) >= 4 ORDER BY support DESC, phrase LIMIT 8),
 {EXAMPLES}
 SELECT label, support, concat('found in ', support, ' rows') AS definition, examples FROM top JOIN examples USING (label)""")
 def taxonomy_candidates(spark, sf_dir):
-    found = mining.mine_taxonomy(documents(spark, sf_dir), "text")
+    found = mining.mine_taxonomy(documents(spark, sf_dir), "text", max_share=0.5, min_chars=4)
     return found.select("label", "support", "definition", F.array_join(F.col("example_rids").cast("array<string>"), ",").alias("examples"))
 
 
 @query("taxonomy_hierarchical", _with(1, 3) + """,
-ok AS (SELECT phrase, words, support FROM support, total WHERE support <= floor(n * 0.5) AND support >= greatest(2, n // 1000)),
+ok AS (SELECT phrase, words, support FROM support, total WHERE support <= floor(n * 0.5) AND support >= 2),
 parents AS (SELECT phrase AS word, support AS ps FROM ok WHERE words = 1 AND length(phrase) >= 4 ORDER BY support DESC, phrase LIMIT 5),
 owned AS (SELECT o.phrase, o.support, word, ps FROM (SELECT DISTINCT phrase, support, unnest(string_split(phrase, ' ')) AS token FROM ok WHERE words > 1) o
   JOIN parents ON token = word QUALIFY row_number() OVER (PARTITION BY o.phrase ORDER BY ps DESC, word) = 1)
 SELECT word AS parent, phrase AS label, support FROM owned
 QUALIFY row_number() OVER (PARTITION BY word ORDER BY support DESC, phrase) <= 5""")
 def taxonomy_hierarchical(spark, sf_dir):
-    found = mining.mine_taxonomy(documents(spark, sf_dir), "text", taxonomy_shape="hierarchical")
+    found = mining.mine_taxonomy(documents(spark, sf_dir), "text", taxonomy_shape="hierarchical", max_share=0.5, min_chars=4)
     return found.select("parent", "label", "support")
 
 
+@query("issue_phrases_all", _with(2, 3) + """
+SELECT phrase AS label, support FROM support WHERE support >= 2 ORDER BY support DESC, words DESC, phrase LIMIT 10""")
+def issue_phrases_all(spark, sf_dir):
+    return mining.mine_phrases(documents(spark, sf_dir), "text", high=3).select("label", "support")
+
+
 PHRASES = _with(2, 6, "WHERE lang = 'en' AND n_chars > 100") + f""",
-top AS (SELECT phrase AS label, support, words FROM support, total WHERE support <= greatest(1, floor(n * 0.5)) AND support >= greatest(2, n // 1000)
+top AS (SELECT phrase AS label, support, words FROM support, total WHERE support <= greatest(1, floor(n * 0.5)) AND support >= 2
   ORDER BY support DESC, words DESC, phrase LIMIT 10),
 {EXAMPLES},
 variants AS (SELECT label, string_agg(surface, '|' ORDER BY c DESC, surface) AS variants FROM (
@@ -70,7 +76,7 @@ SELECT label, support, examples, 'en' AS parent_angle, variants FROM top JOIN ex
 
 
 def _phrases(spark, sf_dir, prune: bool):
-    found = mining.mine_phrases(documents(spark, sf_dir), "text", "n_chars > 100", "lang", "en", prune=prune)
+    found = mining.mine_phrases(documents(spark, sf_dir), "text", "n_chars > 100", "lang", "en", max_share=0.5, prune=prune)
     return found.select("label", "support", F.array_join(F.col("example_rids").cast("array<string>"), ",").alias("examples"),
                         "parent_angle", F.array_join("variants", "|").alias("variants"))
 

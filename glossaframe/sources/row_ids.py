@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from ..scratch import stage
 
 RID = "_rid"
-# Offsets are one small row per file block or partition. Up to this many rows they are broadcast; beyond it
-# the join is left to Spark, which shuffles.
-OFFSETS_TO_BROADCAST = 500_000
 
 
 def _position_in_partition() -> Column:
@@ -32,8 +29,6 @@ def _add_offsets(numbered: DataFrame, counts: DataFrame, by: list[str], position
         counts.withColumn("__offset", F.sum("__n").over(order) - F.col("__n")).drop("__n"), "row-offsets"
     )
     # the window runs over one row per block, never over the data
-    if offsets.count() <= OFFSETS_TO_BROADCAST:
-        offsets = F.broadcast(offsets)
     joined = numbered.join(offsets, by, "left")
     rid = (F.col("__offset") + F.col(position)).cast("bigint").alias(RID)
     keep = [c for c in numbered.columns if c not in (*by, position)]
@@ -76,8 +71,6 @@ def number_text_rows(df: DataFrame, name: str = "rows") -> DataFrame:
         .select("__file", "__block", "__offset"),
         "row-offsets",
     )
-    if offsets.count() <= OFFSETS_TO_BROADCAST:
-        offsets = F.broadcast(offsets)
     rid = (F.col("__offset") + F.col("__running")).cast("bigint").alias(RID)
     return staged.join(offsets, ["__file", "__block"], "left").select(rid, *[F.col(f"`{c}`") for c in df.columns])
 

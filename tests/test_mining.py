@@ -55,9 +55,9 @@ def test_phrases_with_variants_and_examples(posts):
 
 
 def test_flat_and_hierarchical_taxonomies(posts):
-    flat = mining.mine_taxonomy(posts, "content", max_categories=3, min_support=2, include_other=True).collect()
+    flat = mining.mine_taxonomy(posts, "content", max_categories=3, min_support=2, max_share=0.5, min_chars=4, include_other=True).collect()
     assert {(r["label"], r["support"]) for r in flat} == {("sticky", 3), ("feels", 2), ("heavy", 2), ("other", 0)}
-    tree = mining.mine_taxonomy(posts, "content", taxonomy_shape="hierarchical", min_support=2, max_parent_categories=2).collect()
+    tree = mining.mine_taxonomy(posts, "content", taxonomy_shape="hierarchical", min_support=2, max_share=0.5, min_chars=4, max_parent_categories=2).collect()
     # "feels sticky" holds both parents and belongs to the more frequent one
     assert {r["parent"] for r in tree} == {"sticky"} and "feels sticky" in {r["label"] for r in tree}
     assert ("sticky", "sticky and heavy") in {(r["parent"], r["label"]) for r in tree}

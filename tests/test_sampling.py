@@ -66,10 +66,9 @@ def test_random_sample(workspace, complaints_csv):
         workspace.sample_rows("posts", 0)
 
 
-def test_large_random_sample_equals_the_small_way(spark, monkeypatch):
+def test_random_sample_is_the_head_of_the_random_order(spark):
     frame = spark.range(1, 3001).select(F.col("id").alias("_rid"))
-    small = {r["_rid"] for r in sampling.sample_random(frame, 777, seed=5).collect()}
-    monkeypatch.setattr(sampling, "TOP_N_ROWS", 10)
+    small = {r["_rid"] for r in frame.orderBy(sampling.random_order(5), "_rid").limit(777).collect()}
     assert {r["_rid"] for r in sampling.sample_random(frame, 777, seed=5).collect()} == small
     assert sampling.sample_random(frame, 9999, seed=5).count() == 3000
 
@@ -142,23 +141,21 @@ def test_top_n_of_a_dominant_group(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_hot_key_join_is_complete(spark, monkeypatch, how):
-    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 10)
+def test_hot_key_join_is_complete(spark, how):
     left = spark.range(1000).select(F.col("id").alias("x"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 400).cast("int").alias("k"))
     right = spark.range(0, 300).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("y"))
     hot = skew.hot_keys(left.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows")), "k")
-    assert [r["k"] for r in hot.collect()] == [7]
+    assert 7 in [r["k"] for r in hot.collect()]
     joined = skew.join_skewed(left, right, "k", hot, F.col("x"), how)
     plain = left.join(right, "k", how)
     assert sorted(map(tuple, joined.select("x", "k", "y").collect())) == sorted(map(tuple, plain.select("x", "k", "y").collect()))
     assert skew.hot_keys(right.withColumn("n_rows", F.lit(1)), "k") is None
 
 
-def test_enrichment_of_a_hot_content(spark, tmp_path, monkeypatch):
+def test_enrichment_of_a_hot_content(spark, tmp_path):
     from glossaframe.operators import enrich
     from glossaframe.operators.cache import JudgementCache
 
-    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 10)
     rows = spark.range(1, 601).select(F.col("id").alias("_rid"), F.when(F.col("id") % 3 == 0, F.lit("copy")).otherwise(F.col("id").cast("string")).alias("t"))
     found = enrich.derive_column(rows, "v", ["t"], "p", "string", labelers.ColumnLabeler("echo", lambda p: F.to_json(F.struct(
         F.get_json_object(p, "$.t").alias("value")))), cache=JudgementCache(spark, str(tmp_path / "c")), table="t")

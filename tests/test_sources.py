@@ -80,12 +80,6 @@ def test_row_ids_of_any_frame(spark):
     assert sorted(r["_rid"] for r in row_ids.number_rows(spark.range(100).repartition(6)).collect()) == list(range(1, 101))
 
 
-def test_offsets_join_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(row_ids, "OFFSETS_TO_BROADCAST", 0)
-    rows = row_ids.number_rows(spark.range(100).repartition(6)).collect()
-    assert sorted(r["_rid"] for r in rows) == list(range(1, 101))
-
-
 def test_export(workspace, posts_csv, spark, tmp_path):
     workspace.load_table(posts_csv, "posts")
     out = workspace.export_table('SELECT "author", likes FROM posts WHERE likes > 10;', str(tmp_path / "out"), single_file=True)

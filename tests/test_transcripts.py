@@ -88,10 +88,7 @@ def test_key_facts_are_bounded_and_ordered(spark):
     assert info[2] == fixed.NO_KEY_INFO
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_digest_of_a_very_long_conversation(spark, monkeypatch, hot):
-    if hot:
-        monkeypatch.setattr(skew, "HOT_MIN_ROWS", 50)
+def test_digest_of_a_very_long_conversation(spark):
     rows = [(1, t, "user", "w" if t % 5 else "") for t in range(9000)] + [(c, t, "user", f"t{t}") for c in (2, 3) for t in range(12)]
     got = {r["conv_id"]: r["digest"] for r in transcripts.keep_recent_digest(frame(spark, rows), keep=8).collect()}
     assert got[1] == "\n".join("[user] w" for t in range(8992) if t % 5)[:15000]
