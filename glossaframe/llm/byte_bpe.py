@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import stage
 from .encode import led_by_space
+from .expressions import let
 from .worker import worker_local
 
 # bounds of what is sent to every task: pieces, and bytes of a piece
@@ -92,10 +93,6 @@ class RankLiterals:
         return F.shiftleft(F.least(*ranks, F.lit(NO_RANK).cast("long")), 16).bitwiseOR(left)
 
 
-def _let(value: Column, then) -> Column:
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def merged(piece: Column, literals: RankLiterals) -> Column:
     """The ids of a piece given as an array of bytes (0 to 255). An empty or null piece has no ids.
 
@@ -120,7 +117,7 @@ def merged(piece: Column, literals: RankLiterals) -> Column:
                            F.slice(state, k + 2, F.size(state)))
             return F.when(rank < END, new).otherwise(state)
 
-        return _let(F.array_position(state, F.array_min(state)).cast("int"), at)
+        return let(F.array_position(state, F.array_min(state)).cast("int"), at)
 
     ids = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step,
                       lambda state: F.transform(F.slice(state, F.lit(2), F.size(state) - 2), lambda e: e.bitwiseAND(END).cast("int")))
