@@ -109,7 +109,7 @@ class JudgementCache:
         return self.entries(table=table, column=column).count()
 
     def status(self, table: str | None = None, column: str | None = None, tool_name: str | None = None,
-               goal: str | None = None, model: str | None = None, limit: int | None = fixed.CACHE_GROUPS_SHOWN) -> DataFrame:
+               goal: str | None = None, model: str | None = None, limit: int | None = None) -> DataFrame:
         """Entries per table, column, tool, goal, model, schema and sources; the largest groups first."""
         grouped = (
             self.entries(table=table, column=column, tool_name=tool_name, goal=goal, model=model)

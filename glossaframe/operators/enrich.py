@@ -276,18 +276,20 @@ def classify_column(df: DataFrame, source_column: str, new_column: str, classifi
 def embed_column(df: DataFrame, source_column: str, new_column: str, encoder, where: str | None = None,
                  rerun_mode: str = "reuse", cache: JudgementCache | None = None, table: str = "",
                  on_existing: str = "replace", share_across_tables: bool = False) -> Enrichment:
-    """Add an `array<float>` embedding of a text column. Without a memo the vectors are made in the scan."""
+    """Add an `array<float>` embedding of a text column. Only rows inside `where` are encoded, and written before
+    anything reads them, so that nothing is encoded twice."""
     check_identifier(new_column)
     check_columns(df, [source_column])
     text = text_or_empty(F.col(f"`{source_column}`"))
     if cache is None:
-        inside = F.expr(where) if where else F.lit(True)
-        encoded = encoder.encode(df.withColumn("__text", text), "__text", "__vector")
-        vector = F.when(inside, F.col("__vector"))
-        if on_existing == "merge" and new_column in df.columns:
-            vector = F.coalesce(vector, F.col(new_column))
-        out = encoded.select(*[F.col(f"`{c}`") for c in df.columns if c != new_column], vector.alias(new_column))
-        audit = out.where(inside).select(
+        kept, merged = [F.col(f"`{c}`") for c in df.columns if c != new_column], on_existing == "merge" and new_column in df.columns
+        encoded = encoder.encode((df.where(F.expr(where)) if where else df).withColumn("__text", text), "__text", "__vector")
+        vector = F.coalesce("__vector", F.col(new_column)) if merged else F.col("__vector")
+        out = inside = stage(encoded.select(*kept, vector.alias(new_column)), "encoded")
+        if where:
+            before = F.col(new_column) if merged else F.lit(None).cast(inside.schema[new_column].dataType)
+            out = inside.unionByName(df.where(~F.coalesce(F.expr(where), F.lit(False))).select(*kept, before.alias(new_column)))
+        audit = inside.select(
             F.lit(LABELLED).alias("status"), F.lit(True).alias("asked"), F.lit(1).cast("bigint").alias("n_rows"), new_column
         )
         return Enrichment(out, audit, [new_column])

@@ -133,8 +133,9 @@ def _replace_old(messages: DataFrame, keep: int, heading: str, reply: str, summa
     return head.select(CONV, pair).select(CONV, "m.*").unionByName(marked.where("is_recent").select(CONV, TURN, "role", "text"))
 
 
-def _compact(messages: DataFrame, max_tokens: int, role: str, summarizer, summary_over: int, summary_keep: int,
-             collapse_over: int, collapse_keep: int) -> tuple[DataFrame, DataFrame]:
+def _plan(messages: DataFrame, max_tokens: int, role: str, summarizer, summary_over: int, summary_keep: int,
+          collapse_over: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The messages after the first step, the summarized conversations, and the steps of each conversation."""
     snip_at, summary_at, collapse_at = (
         int(max_tokens * share) for share in (fixed.SNIP_SHARE, fixed.SUMMARY_SHARE, fixed.COLLAPSE_SHARE)
     )
@@ -154,7 +155,6 @@ def _compact(messages: DataFrame, max_tokens: int, role: str, summarizer, summar
     snipped = _attach(both, first.select(CONV, "snips", "summarizes")).withColumn(
         "text", F.when(F.col("snips"), F.col("__snipped")).otherwise(F.col("text"))
     )
-    shape = [CONV, TURN, "role", "text"]
     summarized = stage(
         _replace_old(snipped.where("summarizes"), summary_keep, fixed.SUMMARY_HEADING, fixed.SUMMARY_REPLY, summarizer),
         "summarized-turns",
@@ -163,13 +163,17 @@ def _compact(messages: DataFrame, max_tokens: int, role: str, summarizer, summar
     plan = first.join(after, CONV, "left").withColumn("tokens_after_summary", F.coalesce("__tokens", "tokens_after_snip"))
     many = F.coalesce("__n", "n_messages") > collapse_over
     plan = stage(plan.withColumn("collapses", (F.col("tokens_after_summary") > collapse_at) & many).drop("__n", "__tokens"), "compaction-plan")
+    return snipped, summarized, plan
+
 
+def _collapsed(snipped: DataFrame, summarized: DataFrame, plan: DataFrame, collapse_keep: int, summarizer) -> DataFrame:
+    shape = [CONV, TURN, "role", "text"]
     flags = plan.select(CONV, "collapses")
     untouched = _attach(snipped.where(~F.col("summarizes")).select(*shape), flags)
     shortened = _attach(summarized, flags)
     current = untouched.unionByName(shortened)
     collapsed = _replace_old(current.where("collapses"), collapse_keep, fixed.COLLAPSE_HEADING, fixed.COLLAPSE_REPLY, summarizer)
-    return current.where(~F.col("collapses")).select(*shape).unionByName(collapsed), plan
+    return current.where(~F.col("collapses")).select(*shape).unionByName(collapsed)
 
 
 def compact(messages: DataFrame, max_tokens: int = 128_000, role: str = "tool", summarizer=None,
@@ -178,22 +182,25 @@ def compact(messages: DataFrame, max_tokens: int = 128_000, role: str = "tool",
     """Transcripts brought down towards a token budget in up to three steps, each only if the size after the
     one before still calls for it: snip long texts of `role`, summarize all but the last messages, collapse.
     A summary and its reply take the two turn numbers before the first message kept."""
-    return _compact(messages, max_tokens, role, summarizer, summary_over, summary_keep, collapse_over, collapse_keep)[0]
+    steps = _plan(messages, max_tokens, role, summarizer, summary_over, summary_keep, collapse_over)
+    return _collapsed(*steps, collapse_keep, summarizer)
 
 
 def compaction_plan(messages: DataFrame, max_tokens: int = 128_000, role: str = "tool", summarizer=None,
                     summary_over: int = fixed.SUMMARY_OVER_MESSAGES, summary_keep: int = fixed.SUMMARY_KEEP,
-                    collapse_over: int = fixed.COLLAPSE_OVER_MESSAGES, collapse_keep: int = fixed.COLLAPSE_KEEP) -> DataFrame:
+                    collapse_over: int = fixed.COLLAPSE_OVER_MESSAGES) -> DataFrame:
     """Per conversation: messages, tokens, which steps `compact` takes, and the tokens after each."""
-    return _compact(messages, max_tokens, role, summarizer, summary_over, summary_keep, collapse_over, collapse_keep)[1]
+    return _plan(messages, max_tokens, role, summarizer, summary_over, summary_keep, collapse_over)[2]
+
 
+def conversation_list(messages: DataFrame, limit: int | None = None) -> DataFrame:
+    """`(conv_id, preview)`: conversations from the highest id down, each with the start of its first user message.
 
-def conversation_list(messages: DataFrame, limit: int | None = fixed.LISTING_ROWS) -> DataFrame:
-    """`(conv_id, preview)`: conversations from the highest id down, each with the start of its first user message."""
+    All of them, or the first `limit`."""
     ids = messages.select(CONV).distinct()
     if limit is not None:
         # at most `limit` ids: the previews are built for these conversations only
-        ids = F.broadcast(ids.orderBy(F.desc(CONV)).limit(limit))
+        ids = ids.orderBy(F.desc(CONV)).limit(limit)
     spoken = (F.col("role") == "user") & (F.length("text") > 0)
     opening = F.min(F.when(spoken, F.struct(TURN, F.substring("text", 1, fixed.LISTING_PREVIEW_CHARS).alias("preview"))))
     out = messages.join(ids, CONV, "left_semi").groupBy(CONV).agg(F.coalesce(opening["preview"], F.lit("")).alias("preview"))

@@ -131,7 +131,7 @@ SELECT conv_id, coalesce((SELECT substr(text, 1, 80) FROM conversations u
   WHERE u.conv_id = c.conv_id AND role = 'user' AND length(text) > 0 ORDER BY turn LIMIT 1), '') AS preview
 FROM (SELECT DISTINCT conv_id FROM conversations ORDER BY conv_id DESC LIMIT 20) c""")
 def conversation_list(spark, sf_dir):
-    return transcripts.conversation_list(conversations(spark, sf_dir))
+    return transcripts.conversation_list(conversations(spark, sf_dir), fixed.LISTING_ROWS)
 
 
 @query("cost_estimate", """

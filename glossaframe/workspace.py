@@ -92,7 +92,7 @@ class Workspace:
     def export_table(self, query: str, output_path: str, **options) -> str:
         return writers.export_csv(self.sql(query), output_path, **options)
 
-    def corpus_grep(self, name: str, pattern: str, text_column: str, limit: int | None = fixed.SEARCH_MATCHES) -> DataFrame:
+    def corpus_grep(self, name: str, pattern: str, text_column: str, limit: int | None = None) -> DataFrame:
         return search.grep(self.table(name), pattern, RID, text_column, limit)
 
     # ---- subsets and samples ------------------------------------------------------------------------------

@@ -9,8 +9,8 @@ from glossaframe.functions.text import infer_polarity, polarity_of
 from glossaframe.operators import labelers, mining, topics
 
 TEXTS = [
-    "The cream is not worth the price. Not worth the price!", "Honestly not worth the price, and sticky.",
-    "It feels sticky and heavy", "feels STICKY and heavy", "Great value", None, "",
+    "The dock is far from the station. Far from the station!", "Honestly far from the station, and rusty.",
+    "It feels rusty and heavy", "feels RUSTY and heavy", "Great views", None, "",
 ]
 
 
@@ -45,10 +45,10 @@ def test_pruning_changes_nothing_when_buckets_collide(posts, monkeypatch):
 def test_phrases_with_variants_and_examples(posts):
     found = {r["label"]: r for r in mining.mine_phrases(posts, "content", parent_angle_column="mood", parent_angle_value="neg",
                                                         min_support=2, low=2, high=4).collect()}
-    top = found["not worth the price"]
+    top = found["far from the station"]
     assert top["support"] == 2 and list(top["example_rids"]) == [1, 2] and top["parent_angle"] == "neg"
-    assert list(top["variants"]) == ["Not worth the price!", "not worth the price,", "not worth the price."]
-    assert list(found["sticky and heavy"]["variants"]) == ["STICKY and heavy", "sticky and heavy"]
+    assert list(top["variants"]) == ["Far from the station!", "far from the station,", "far from the station."]
+    assert list(found["rusty and heavy"]["variants"]) == ["RUSTY and heavy", "rusty and heavy"]
     with pytest.raises(ValueError, match="0 rows"):
         mining.mine_phrases(posts, "content", where="mood = 'none'")
     assert mining.mine_phrases(posts, "content", where="_rid >= 6").isEmpty()
@@ -56,53 +56,53 @@ def test_phrases_with_variants_and_examples(posts):
 
 def test_flat_and_hierarchical_taxonomies(posts):
     flat = mining.mine_taxonomy(posts, "content", max_categories=3, min_support=2, max_share=0.5, min_chars=4, include_other=True).collect()
-    assert {(r["label"], r["support"]) for r in flat} == {("sticky", 3), ("feels", 2), ("heavy", 2), ("other", 0)}
+    assert {(r["label"], r["support"]) for r in flat} == {("rusty", 3), ("feels", 2), ("heavy", 2), ("other", 0)}
     tree = mining.mine_taxonomy(posts, "content", taxonomy_shape="hierarchical", min_support=2, max_share=0.5, min_chars=4, max_parent_categories=2).collect()
-    # "feels sticky" holds both parents and belongs to the more frequent one
-    assert {r["parent"] for r in tree} == {"sticky"} and "feels sticky" in {r["label"] for r in tree}
-    assert ("sticky", "sticky and heavy") in {(r["parent"], r["label"]) for r in tree}
-    assert all(r["label"].count("sticky") == 1 for r in tree)
+    # "feels rusty" holds both parents and belongs to the more frequent one
+    assert {r["parent"] for r in tree} == {"rusty"} and "feels rusty" in {r["label"] for r in tree}
+    assert ("rusty", "rusty and heavy") in {(r["parent"], r["label"]) for r in tree}
+    assert all(r["label"].count("rusty") == 1 for r in tree)
 
 
-def test_proposed_taxonomy_from_a_sample(workspace, complaints_csv):
+def test_proposed_taxonomy_from_a_sample(workspace, rides_csv):
     seen = []
 
     def proposer(request):
         seen.append(json.loads(request))
-        return json.dumps({"categories": [{"label": " texture_issue ", "definition": "sticky"}, {"label": ""}, "x"],
-                           "recommended_column_name": "complaint_angle", "notes": "n"})
-
-    workspace.load_table(complaints_csv, "posts")
-    categories, notes = workspace.discover_taxonomy("posts", "content", "negative_problem_angles", proposer,
-                                                    where="sentiment = 'neg'", sample_size=4)
-    assert [tuple(r) for r in categories.collect()] == [(None, "texture_issue", "sticky")]
-    assert notes["recommended_column_name"] == "complaint_angle"
+        return json.dumps({"categories": [{"label": " mechanical ", "definition": "parts that fail"}, {"label": ""}, "x"],
+                           "recommended_column_name": "ride_angle", "notes": "n"})
+
+    workspace.load_table(rides_csv, "posts")
+    categories, notes = workspace.discover_taxonomy("posts", "content", "negative_ride_notes", proposer,
+                                                    where="tone = 'low'", sample_size=4)
+    assert [tuple(r) for r in categories.collect()] == [(None, "mechanical", "parts that fail")]
+    assert notes["recommended_column_name"] == "ride_angle"
     assert seen[0]["target_polarity"] == "negative" and len(seen[0]["rows"]) == 4
     _, notes = workspace.discover_taxonomy("posts", "content", "g", lambda r: '{"categories": [{"label": "a"}]}', sampling_method="stratified",
-                                           stratify_by="sentiment", sample_size=1)
+                                           stratify_by="tone", sample_size=1)
     assert notes == {"recommended_column_name": "g_label"}
     for answer in ("no json", '{"categories": []}', "[]"):
         with pytest.raises(ValueError):
             workspace.discover_taxonomy("posts", "content", "g", lambda r, a=answer: a)
 
 
-def test_proposed_tree_and_phrases(workspace, complaints_csv):
-    workspace.load_table(complaints_csv, "posts")
+def test_proposed_tree_and_phrases(workspace, rides_csv):
+    workspace.load_table(rides_csv, "posts")
     tree = {"categories": [
-        {"parent_label": "usage_issues", "children": [{"child_label": "pilling", "child_definition": "rolls up"}, {"child_label": " "}]},
+        {"parent_label": "vehicle", "children": [{"child_label": "drivetrain", "child_definition": "chain and gears"}, {"child_label": " "}]},
         {"parent_label": "", "children": [{"child_label": "lost"}]}]}
     categories, _ = workspace.discover_taxonomy("posts", "content", "g", lambda r: json.dumps(tree), taxonomy_shape="hierarchical")
-    assert [tuple(r) for r in categories.collect()] == [("usage_issues", "pilling", "rolls up")]
-    phrases = {"phrases": [{"canonical_phrase": "pilling", "definition": "d", "variants": ["rolls up"], "example_rids": [1], "parent_angle": "usage_issues"},
+    assert [tuple(r) for r in categories.collect()] == [("vehicle", "drivetrain", "chain and gears")]
+    phrases = {"phrases": [{"canonical_phrase": "drivetrain", "definition": "d", "variants": ["chain and gears"], "example_rids": [1], "parent_angle": "vehicle"},
                            {"canonical_phrase": "bare", "variants": "none"}]}
     found, notes = workspace.discover_issue_phrases("posts", "content", "pain points", lambda r: json.dumps(phrases),
-                                                    parent_angle_column="sentiment", parent_angle_value="neg")
+                                                    parent_angle_column="tone", parent_angle_value="low")
     rows = {r["label"]: (r["variants"], r["example_rids"], r["parent_angle"]) for r in found.collect()}
-    assert rows == {"pilling": (["rolls up"], [1], "usage_issues"), "bare": ([], [], "")}
+    assert rows == {"drivetrain": (["chain and gears"], [1], "vehicle"), "bare": ([], [], "")}
     assert notes == {"recommended_column_name": "issue_phrase"}
     assigned = workspace.assign_taxonomy("posts", "content", "phrase", "g", [r.asDict() for r in found.collect()],
-                                         labeler=labelers.RuleLabeler("r", [("pilling", "pilling")], "bare"))
-    assert assigned.df.where("phrase = 'pilling'").count() == 1
+                                         labeler=labelers.RuleLabeler("r", [("wobbles", "drivetrain")], "bare"))
+    assert assigned.df.where("phrase = 'drivetrain'").count() == 1
 
 
 def test_payload_is_cut_and_never_null(posts, spark):
@@ -111,7 +111,7 @@ def test_payload_is_cut_and_never_null(posts, spark):
 
 
 @pytest.mark.parametrize("text,plain,whole", [
-    ("negative_problem_angles", "negative", None), ("some posts", "positive", None), ("neg and praise", "negative", "negative"),
+    ("negative_ride_notes", "negative", None), ("some posts", "positive", None), ("neg and praise", "negative", "negative"),
     ("用户吐槽", "negative", None), ("卖点", "positive", "positive"), ("weather", None, None), ("pain points", None, None)])
 def test_polarity(spark, text, plain, whole):
     row = spark.range(1).select(infer_polarity(F.lit(text)).alias("p"), infer_polarity(F.lit(text), whole_words=True).alias("w")).first()

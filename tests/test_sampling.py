@@ -45,20 +45,20 @@ def test_diverse_takes_all_when_asked_for_more(spark):
     assert sampling.sample_diverse(frame, 50, "v").count() == 9
 
 
-def test_diverse_sample_of_texts(workspace, complaints_csv):
-    workspace.load_table(complaints_csv, "posts")
+def test_diverse_sample_of_texts(workspace, rides_csv):
+    workspace.load_table(rides_csv, "posts")
     encoder = labelers.BatchEncoder("index", lambda: lambda texts: [[float(len(t)), 0.0] for t in texts])
-    workspace.sample_rows("posts", 2, method="diverse", where="sentiment = 'neg'", text_column="content", encoder=encoder,
+    workspace.sample_rows("posts", 2, method="diverse", where="tone = 'low'", text_column="content", encoder=encoder,
                           columns=["content"], new_table="posts_sample")
     sample = workspace.table("posts_sample")
     assert sample.count() == 2 and sample.columns == workspace.table("posts").columns
     assert workspace.tables["posts_sample"].source == "posts[sample:diverse]"
 
 
-def test_random_sample(workspace, complaints_csv):
-    workspace.load_table(complaints_csv, "posts")
-    sample = workspace.sample_rows("posts", 2, where="sentiment = 'neg'", columns=["content", "sentiment"])
-    assert sample.columns == ["_rid", "content", "sentiment"] and sample.count() == 2
+def test_random_sample(workspace, rides_csv):
+    workspace.load_table(rides_csv, "posts")
+    sample = workspace.sample_rows("posts", 2, where="tone = 'low'", columns=["content", "tone"])
+    assert sample.columns == ["_rid", "content", "tone"] and sample.count() == 2
     for wrong in (dict(method="odd"), dict(method="stratified"), dict(method="diverse")):
         with pytest.raises(ValueError):
             workspace.sample_rows("posts", 2, **wrong)

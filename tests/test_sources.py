@@ -93,7 +93,7 @@ def test_sql_queries_quote_identifiers_and_raise(workspace, posts_csv):
     workspace.load_table(posts_csv, "posts")
     assert workspace.sql("SELECT COUNT(*) AS n FROM posts").first()["n"] == 4
     rows = workspace.sql('SELECT "author", SUM("likes") AS total FROM posts GROUP BY 1 ORDER BY 2 DESC;').collect()
-    assert tuple(rows[0]) == ("dave", 200)
+    assert tuple(rows[0]) == ("jonas", 140)
     with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
         workspace.sql("SELECT * FROM nonexistent_table")
     with pytest.raises(ValueError, match="empty"):
@@ -108,14 +108,14 @@ def test_preview_limits_rows_and_cells(workspace, spark):
     assert filters.is_truncated(workspace.sql("SELECT * FROM t")) and not filters.is_truncated(workspace.sql("SELECT * FROM t LIMIT 50"))
 
 
-def test_subset_keeps_the_row_key_and_lineage(workspace, complaints_csv):
-    workspace.load_table(complaints_csv, "posts")
-    subset = workspace.materialize_subset("posts", "neg_posts", "sentiment = 'neg'", columns=["content"], write=True)
+def test_subset_keeps_the_row_key_and_lineage(workspace, rides_csv):
+    workspace.load_table(rides_csv, "posts")
+    subset = workspace.materialize_subset("posts", "neg_posts", "tone = 'low'", columns=["content"], write=True)
     assert subset.columns == ["_rid", "content"] and subset.count() == 4
     entry = workspace.tables["neg_posts"]
-    assert entry.source == "posts[sentiment = 'neg']" and entry.parent == "posts"
+    assert entry.source == "posts[tone = 'low']" and entry.parent == "posts"
     described = {r["name"]: (r["n_rows"], r["columns"]) for r in workspace.describe().collect()}
-    assert described == {"posts": (5, "_rid, id, content, sentiment"), "neg_posts": (4, "_rid, content")}
+    assert described == {"posts": (5, "_rid, id, content, tone"), "neg_posts": (4, "_rid, content")}
     with pytest.raises(ValueError, match="not found"):
         workspace.materialize_subset("posts", "x", "true", columns=["nope"])
 

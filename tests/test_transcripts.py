@@ -37,8 +37,8 @@ def test_snip_keeps_both_ends(spark):
 def conversation(conv, turns):
     rows = []
     for i in range(turns):
-        rows.append((conv, 2 * i, "user", f"msg {i} " + "a" * 200))
-        rows.append((conv, 2 * i + 1, "tool", "b" * 2000))
+        rows.append((conv, 2 * i, "user", f"step {i}: " + "please look again " * 12))
+        rows.append((conv, 2 * i + 1, "tool", "one more value; " * 125))
     return rows
 
 
@@ -98,7 +98,7 @@ def test_digest_of_a_very_long_conversation(spark):
 def test_listing(spark):
     rows = [(c, t, role, f"{role} {c} " + "p" * 100) for c in range(30) for t, role in ((0, "system"), (2, "user"), (1, "user"))]
     rows += [(99, 0, "assistant", "no question")]
-    listed = transcripts.conversation_list(frame(spark, rows)).collect()
+    listed = transcripts.conversation_list(frame(spark, rows), limit=20).collect()
     assert [r["conv_id"] for r in listed] == [99, *range(29, 10, -1)]
     assert listed[0]["preview"] == "" and listed[1]["preview"] == ("user 29 " + "p" * 100)[:80]
 
