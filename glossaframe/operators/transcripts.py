@@ -188,8 +188,9 @@ def compact(messages: DataFrame, max_tokens: int = 128_000, role: str = "tool",
 
 def compaction_plan(messages: DataFrame, max_tokens: int = 128_000, role: str = "tool", summarizer=None,
                     summary_over: int = fixed.SUMMARY_OVER_MESSAGES, summary_keep: int = fixed.SUMMARY_KEEP,
-                    collapse_over: int = fixed.COLLAPSE_OVER_MESSAGES) -> DataFrame:
-    """Per conversation: messages, tokens, which steps `compact` takes, and the tokens after each."""
+                    collapse_over: int = fixed.COLLAPSE_OVER_MESSAGES, collapse_keep: int = fixed.COLLAPSE_KEEP) -> DataFrame:
+    """Per conversation: messages, tokens, which steps `compact` takes, and the tokens after each. `collapse_keep` is
+    taken so that both accept the same settings; it changes no step."""
     return _plan(messages, max_tokens, role, summarizer, summary_over, summary_keep, collapse_over)[2]
 
 
