@@ -186,15 +186,18 @@ def byte_arrays(pieces: list[str]) -> pa.Array:
 class SentPieces:
     """Ids of frequent pieces in a few arrays: sorted hashes, and the bytes and ids they stand for."""
 
-    def __init__(self, pieces: list[str], ids: list[bytes]):
-        hashes = np.array([self._hash(p.encode()) for p in pieces], np.uint64)
+    def __init__(self, hashes: np.ndarray, data: bytes, ends: array, ids: bytes, id_ends: array):
+        self.hashes, self.data, self.ends, self.ids, self.id_ends = hashes, data, ends, ids, id_ends
+
+    @classmethod
+    def parts(cls, pieces: list[str], ids: list[bytes]) -> tuple:
+        """What `__init__` takes. A broadcast holds these and no instance: its class need not be known on the executors."""
+        hashes = np.array([cls._hash(p.encode()) for p in pieces], np.uint64)
         order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
         data = [pieces[i].encode() for i in order]
-        self.data, self.ids = b"".join(data), b"".join(ids[i] for i in order)
         # arrays of the array module: small, and their items are plain integers
-        self.ends = array("q", np.cumsum([0, *map(len, data)]).tobytes())
-        self.id_ends = array("q", np.cumsum([0, *(len(ids[i]) for i in order)]).tobytes())
+        return (hashes[order], b"".join(data), array("q", np.cumsum([0, *map(len, data)]).tobytes()),
+                b"".join(ids[i] for i in order), array("q", np.cumsum([0, *(len(ids[i]) for i in order)]).tobytes()))
 
     @staticmethod
     def _hash(data: bytes) -> int:
@@ -218,7 +221,7 @@ class SentPieces:
         return found
 
 
-def _sent(frequent: DataFrame, literals: RankLiterals) -> SentPieces:
+def _sent(frequent: DataFrame, literals: RankLiterals) -> tuple:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), byte_arrays(batch.column(0).to_pylist())], ["piece", "bytes"])
@@ -231,7 +234,7 @@ def _sent(frequent: DataFrame, literals: RankLiterals) -> SentPieces:
         ids, ends = chunk.column(1).flatten().to_numpy().astype("<u4").tobytes(), chunk.column(1).offsets.to_numpy()
         ends = (ends - ends[0]) * 4
         flat += [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-    return SentPieces(pieces, flat)
+    return SentPieces.parts(pieces, flat)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -250,6 +253,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         import regex
 
         find, memo, lacking = regex.compile(pattern).findall, {}, {}
+        known_pieces = SentPieces(*sent.value)
         for batch in batches:
             texts = [led_by_space(t or "") for t in batch.column(1).to_pylist()]
             wanted = set().union(*texts)
@@ -260,7 +264,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 new = wanted
             cuts = {s: pieces_of(s, find) for s in new}
             pieces = list(set().union(*cuts.values()))
-            known = dict(zip(pieces, sent.value.find(pieces)))
+            known = dict(zip(pieces, known_pieces.find(pieces)))
             for piece, ids in known.items():
                 if ids is None:  # its place among the lacking ones stands for it
                     known[piece] = (UNKNOWN + lacking.setdefault(piece, len(lacking))).to_bytes(4, "little")

@@ -1,7 +1,8 @@
 """Token ids of whole texts with the `tokenizers` library, each distinct stretch encoded once.
 
 A byte-level or word-level pre-tokenizer never joins characters across certain places, so a text can be cut there,
-each distinct stretch encoded once and the ids put together: the ids are those of the whole text.
+each distinct stretch encoded once and the ids put together: the ids are those of the whole text. New stretches are
+joined by a mark that such a place surrounds, many to a text, and their ids are cut at the mark's id again.
 """
 
 from __future__ import annotations
@@ -10,15 +11,24 @@ import json
 import re
 from itertools import chain
 
+import numpy as np
+
 from .worker import worker_local
 
 # White space as Unicode has it; Python's \s also holds U+001C to U+001F.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# anything but single spaces and line breaks between other characters
-IRREGULAR = re.compile(rf"[{BLANK}]{{2}}|[^\S \n]|[\0\x85\x1c-\x1f]|^[{BLANK}]|[{BLANK}]\Z")
 STRETCH = re.compile(rf" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]")
 # distinct stretches whose ids a worker keeps at once; beyond that it starts anew, with the same results
 MOST_KEPT = 1 << 20
+# new stretches that go to the tokenizer as one text: each call for a text costs more than a stretch does
+JOINED = 64
+
+
+def _singly_spaced(text: str) -> bool:
+    """Whether all white space stands alone, between other characters, and is a space or a line break."""
+    words = text.split()
+    gaps = text.count(" ") + text.count("\n")
+    return len(words) == gaps + 1 and len(text) == gaps + sum(map(len, words)) and "\0" not in text
 
 
 def led_by_space(text: str) -> list[str]:
@@ -26,7 +36,7 @@ def led_by_space(text: str) -> list[str]:
     byte-level patterns cut it, all but its last character together."""
     if not text:
         return []
-    if IRREGULAR.search(text):
+    if not _singly_spaced(text):
         return STRETCH.findall(text)
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
@@ -54,11 +64,20 @@ class TextEncoder:
         steps = stated.get("pre_tokenizer") or {}
         kinds = [(s["type"], s.get("behavior"), s.get("use_regex"), s.get("add_prefix_space")) for s in steps.get("pretokenizers", [steps]) if s]
         if stated.get("normalizer") is None and kinds == [("ByteLevel", None, True, False)]:
-            self.cut = led_by_space
+            self.cut, between = led_by_space, "\n"
         elif kinds[:1] == [("Split", "Removed", None, None)] and "\\s" in str(steps["pretokenizers"][0]["pattern"]):
-            self.cut = between_spaces
+            self.cut, between = between_spaces, " \1 "
         else:  # an unknown pre-tokenizer: whole texts
-            self.cut = lambda text: [text]
+            self.cut, between = (lambda text: [text]), ""
+        # what stands between joined stretches must be one id, which no stretch without its mark can have
+        marks = self.tokenizer.encode(f"a{between}a", add_special_tokens=False).ids[1:-1] if between else []
+        self.between, self.mark = (between, marks[0]) if len(marks) == 1 else ("", -1)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(found.ids, "<u8") for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _packed(self, ids: np.ndarray) -> bytes:
+        return ids.view(np.uint8).reshape(-1, 8)[:, : self.width].tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         parts = [self.cut(t or "") for t in texts]
@@ -67,11 +86,24 @@ class TextEncoder:
         if len(self.memo) + len(new) > MOST_KEPT:
             self.memo.clear()
             new = wanted
-        listed, width = list(new), self.width
-        for low in range(0, len(listed), 4096):
-            some = listed[low: low + 4096]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.memo[part] = b"".join([i.to_bytes(width, "little") for i in found.ids])
+        mark = self.between.strip(" ")
+        apart = [p for p in new if not mark or mark in p or p.isspace()]
+        joined = list(new.difference(apart)) if apart else list(new)
+        for low in range(0, len(joined), 64 * JOINED):
+            groups = [joined[k: k + JOINED] for k in range(low, min(low + 64 * JOINED, len(joined)), JOINED)]
+            for group, found in zip(groups, self._ids([self.between.join(g) for g in groups])):
+                ends = [*np.flatnonzero(found == self.mark).tolist(), len(found)]
+                if len(ends) != len(group):
+                    apart += group
+                    continue
+                data, start, width = self._packed(found), 0, self.width
+                for part, end in zip(group, ends):
+                    self.memo[part] = data[start * width: end * width]
+                    start = end + 1
+        for low in range(0, len(apart), 4096):
+            some = apart[low: low + 4096]
+            for part, found in zip(some, self._ids(some)):
+                self.memo[part] = self._packed(found)
         get = self.memo.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
