@@ -27,6 +27,7 @@ from ..functions.text import ellipsis, text_or_empty
 from ..scratch import stage
 from ..sources.row_ids import RID
 from .cache import JudgementCache
+from .labelers import Request
 from .skew import hot_keys, join_skewed, spread
 
 HIT, LABELLED, EMBEDDED, SKIPPED, ERROR = "hit", "labelled", "embedded", "skipped", "error"
@@ -218,15 +219,15 @@ def run(df: DataFrame, *, row_content: Column, payload: Column, prompt: str, sch
 # ---- operators ------------------------------------------------------------------------------------------
 
 
-def labelled_by(labeler) -> Callable[[DataFrame], DataFrame]:
-    return lambda frame: labeler.label(frame, "payload", "raw").withColumn("status", F.lit(LABELLED))
+def labelled_by(labeler, request: Request) -> Callable[[DataFrame], DataFrame]:
+    return lambda frame: labeler.label(frame, "payload", "raw", request).withColumn("status", F.lit(LABELLED))
 
 
 def derive_column(df: DataFrame, new_column: str, source_columns: Sequence[str], prompt: str, output_type: str, labeler,
                   enum_values: Sequence[str] | None = None, sample_size: int | None = None, rerun_mode: str = "reuse",
                   cache: JudgementCache | None = None, table: str = "", share_across_tables: bool = False,
                   dedupe: bool = True) -> Enrichment:
-    """Add a column by judging each row: the labeler sees the source columns as JSON.
+    """Add a column by judging each row: the labeler sees the source columns as JSON, and the prompt, type and values.
 
     `sample_size` makes a dry run over the first rows: they come back labelled, and the memo is filled.
     """
@@ -236,10 +237,11 @@ def derive_column(df: DataFrame, new_column: str, source_columns: Sequence[str],
         raise ValueError("enum_values required when output_type='enum'")
     check_columns(df, source_columns)
     content = keys.row_json(source_columns)
+    request = Request(prompt, output_type, tuple(enum_values or ()), goal=new_column)
     return run(
         df, row_content=content, payload=content, prompt=prompt,
         schema={"type": output_type, "enum": list(enum_values) if enum_values else None},
-        model=labeler.name, table=table, judge=labelled_by(labeler), expression=labeler.expression,
+        model=labeler.name, table=table, judge=labelled_by(labeler, request), expression=labeler.expression,
         decoder=Decoder({new_column: lambda v: values.typed_value(v, output_type, enum_values)}),
         cache=cache, rerun_mode=rerun_mode, tool_name="derive_column", cache_column=new_column, goal=new_column,
         prompt_preview=prompt, source_columns=source_columns, dry_run_rows=sample_size,

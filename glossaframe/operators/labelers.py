@@ -1,6 +1,6 @@
 """Models as plug-ins. Each is a transformation that adds one column to a frame.
 
-* a labeler adds a JSON answer `{"value": ...}` for a payload column,
+* a labeler adds a JSON answer `{"value": ...}` for a payload column and a `Request`, which holds the question,
 * a classifier adds a label for a text column,
 * an encoder adds an `array<float>` for a text column.
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass
 
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer
@@ -44,6 +45,34 @@ def with_batches(df: DataFrame, source: str, out: str, out_type: T.DataType,
 # ---- labelers -------------------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Request:
+    """What is asked about each payload. Everything here is also part of a judgement's key.
+
+    `labels` are the allowed values; of a parent/child taxonomy they are `(parent, child)` pairs.
+    `definitions` has one text per label, empty where none was given.
+    """
+
+    prompt: str = ""
+    output_type: str = "string"
+    labels: tuple = ()
+    definitions: tuple[str, ...] = ()
+    goal: str = ""
+    polarity: str = ""
+
+    def text(self) -> str:
+        """The request in words, for models that read text; a payload goes below it."""
+        said = [self.prompt]
+        if self.polarity:
+            said.append(f"Polarity: {self.polarity}.")
+        for label, definition in zip(self.labels, self.definitions or [""] * len(self.labels)):
+            name = label if isinstance(label, str) else " / ".join(label)
+            said.append(f"- {name}: {definition}" if definition else f"- {name}")
+        shape = '{"parent": ..., "child": ...}' if self.output_type == "pair" else self.output_type
+        said.append(f'Answer with JSON {{"value": {shape}}} and nothing else.')
+        return "\n".join(said)
+
+
 class RuleLabeler:
     """The first rule whose pattern is found in the lower-cased payload gives the value.
 
@@ -59,7 +88,7 @@ class RuleLabeler:
     def _answer(value) -> Column:
         return F.lit(json.dumps({"value": value}, ensure_ascii=False))
 
-    def label(self, df: DataFrame, payload: str, out: str) -> DataFrame:
+    def label(self, df: DataFrame, payload: str, out: str, request: Request) -> DataFrame:
         text = F.lower(F.col(payload))
         answer = None
         for pattern, value in self.rules:
@@ -77,32 +106,47 @@ class ColumnLabeler:
     def __init__(self, name: str, answer: Callable[[Column], Column]):
         self.name, self.answer = name, answer
 
-    def label(self, df: DataFrame, payload: str, out: str) -> DataFrame:
+    def label(self, df: DataFrame, payload: str, out: str, request: Request) -> DataFrame:
         return df.withColumn(out, self.answer(F.col(payload)))
 
 
+class PromptedLabeler:
+    """A labeler given as a Spark expression from the payload column and the request to the JSON answer."""
+
+    expression = True
+
+    def __init__(self, name: str, answer: Callable[[Column, Request], Column]):
+        self.name, self.answer = name, answer
+
+    def label(self, df: DataFrame, payload: str, out: str, request: Request) -> DataFrame:
+        return df.withColumn(out, self.answer(F.col(payload), request))
+
+
 class PythonLabeler:
     """Calls `make()` once per task and then the returned function once per payload.
 
     For model services: up to `concurrency` payloads are in flight per task, and a call that raises leaves
-    that row without an answer. The prompt is part of the function the caller builds.
+    that row without an answer. With `prompted` the function is called with the payload and the request's fields as a
+    dict, whose `text` has them in words; without, what is asked is fixed by the caller.
     """
 
     expression = False
 
-    def __init__(self, name: str, make: Callable[[], Callable[[str], str]], concurrency: int = 8,
-                 num_partitions: int | None = None):
+    def __init__(self, name: str, make: Callable[[], Callable[..., str]], concurrency: int = 8,
+                 num_partitions: int | None = None, prompted: bool = False):
         self.name, self.make, self.concurrency, self.num_partitions = name, make, concurrency, num_partitions
+        self.prompted = prompted
 
-    def label(self, df: DataFrame, payload: str, out: str) -> DataFrame:
+    def label(self, df: DataFrame, payload: str, out: str, request: Request) -> DataFrame:
         make, concurrency = self.make, self.concurrency
+        asked = ({**asdict(request), "text": request.text()},) if self.prompted else ()
 
         def build():
             ask = make()
 
             def safe(text):
                 try:
-                    return ask(text)
+                    return ask(text, *asked)
                 except Exception:  # one failed row must not fail the job
                     return None
 

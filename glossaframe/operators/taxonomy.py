@@ -12,8 +12,9 @@ from ..functions import fixed, keys, values
 from ..functions.text import polarity_of, text_or_empty
 from ..scratch import stage
 from .cache import JudgementCache
-from .enrich import (EMBEDDED, LABELLED, Decoder, Enrichment, check_choice, check_columns, check_identifier,
+from .enrich import (EMBEDDED, Decoder, Enrichment, check_choice, check_columns, check_identifier,
                      labelled_by, run)
+from .labelers import Request
 from .similarity import best_prototype
 
 
@@ -106,6 +107,10 @@ def assign_taxonomy(df: DataFrame, text_column: str, new_column: str | None, goa
         "definitions": {c.label: c.definition for c in categories if c.parent is None and c.definition},
         "polarity": polarity_of(goal, where),
     }
+    request = Request(
+        goal, "enum" if taxonomy_shape == "flat" else "pair", tuple(labels if taxonomy_shape == "flat" else pairs),
+        tuple(c.definition for c in categories), goal, schema["polarity"] or "",
+    )
     if routed:
         schema["routing"] = {"mode": routing_mode, "model": encoder_name, "threshold": confidence_threshold}
 
@@ -115,7 +120,7 @@ def assign_taxonomy(df: DataFrame, text_column: str, new_column: str | None, goa
 
     def judge(frame: DataFrame) -> DataFrame:
         if not routed:
-            return labelled_by(labeler)(frame)
+            return labelled_by(labeler, request)(frame)
         frame = frame if not vector_column else frame.select(
             *[c for c in frame.columns if c != "payload"], F.col("payload.text").alias("payload"), F.col("payload.vector").alias("__vector")
         )
@@ -133,7 +138,7 @@ def assign_taxonomy(df: DataFrame, text_column: str, new_column: str | None, goa
             return scored.withColumn("status", F.lit(EMBEDDED))
         scored = stage(scored, "routed")  # encoded once, read by both branches
         sure_rows = scored.where(F.col("raw").isNotNull()).withColumn("status", F.lit(EMBEDDED))
-        rest = labeler.label(scored.where(F.col("raw").isNull()).drop("raw"), "payload", "raw").withColumn("status", F.lit(LABELLED))
+        rest = labelled_by(labeler, request)(scored.where(F.col("raw").isNull()).drop("raw"))
         return sure_rows.unionByName(rest)
 
     return run(

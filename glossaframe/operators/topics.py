@@ -15,6 +15,7 @@ from ..functions.text import explode_values, text_or_empty, words
 from ..scratch import stage
 from ..sources.row_ids import RID
 from .enrich import check_columns, check_identifier
+from .labelers import Request
 from .similarity import best_prototype, unit_rows
 from .skew import spread, top_n_per_group
 
@@ -56,7 +57,7 @@ def name_topics(topics: DataFrame, labeler=None) -> DataFrame:
     if labeler is None:
         return topics.withColumn("label", F.col("keywords"))
     asked = topics.withColumn("payload", F.to_json(F.struct("keywords", "examples")))
-    answered = stage(labeler.label(asked, "payload", "raw"), "topic-names")
+    answered = stage(labeler.label(asked, "payload", "raw", Request("Name the topic of these keywords and examples.")), "topic-names")
     name = values.typed_value(values.answer_value_json(F.col("raw")), "string")
     label = F.substring(F.coalesce(F.when(name != "", name), F.col("keywords")), 1, fixed.TOPIC_LABEL_CHARS)
     return answered.withColumn("label", label).drop("payload", "raw")

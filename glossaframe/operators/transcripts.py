@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, values
 from ..functions.text import explode_values, lines, number_lines, text_or_empty
 from ..scratch import stage
+from .labelers import Request
 from .skew import hot_keys, join_skewed, top_n_per_group
 
 CONV, TURN = "conv_id", "turn"
@@ -115,7 +116,7 @@ def _summaries(old: DataFrame, summarizer) -> DataFrame:
     facts = key_info(old)
     if summarizer is None:
         return facts.withColumnRenamed("info", "summary")
-    answered = stage(summarizer.label(digest(old), "digest", "raw"), "summaries")
+    answered = stage(summarizer.label(digest(old), "digest", "raw", Request("Summarize this conversation.")), "summaries")
     said = answered.select(CONV, values.typed_value(values.answer_value_json(F.col("raw")), "string").alias("said"))
     return facts.join(said, CONV, "left").select(CONV, F.coalesce("said", "info").alias("summary"))
 

@@ -52,6 +52,23 @@ def _field(name: str):
     return lambda payload: F.get_json_object(payload, f"$.{name}")
 
 
+def _quoted_word(payload, request):
+    """Whether the word that the prompt quotes occurs."""
+    word = request.prompt.split("'")[1]
+    return F.to_json(F.struct(F.lower(payload).contains(word).alias("value")))
+
+
+@query("derive_prompted", """
+SELECT doc_id, contains(lower(text), 'license') AS on_license, contains(lower(text), 'refund') AS on_refund FROM documents""")
+def derive_prompted(spark, sf_dir):
+    """One labeler that answers from its request: two prompts give two columns."""
+    labeler, cache, rows = labelers.PromptedLabeler("quoted-word", _quoted_word), new_cache(spark), documents(spark, sf_dir)
+    for word in ("license", "refund"):
+        rows = enrich.derive_column(rows, f"on_{word}", ["text"], f"Does it speak of '{word}'?", "boolean", labeler,
+                                    cache=cache, table="documents").df
+    return rows.select("doc_id", "on_license", "on_refund")
+
+
 @query("derive_number", """
 SELECT event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) >= 10
   THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) / 4 END AS k_number FROM events""")
@@ -219,6 +236,33 @@ def assign_hier(spark, sf_dir):
     return found.df.select("doc_id", "angle", "detail")
 
 
+ANGLES = {"legal": "license copyright", "privacy": "password secret", "value": "refund worthless"}
+
+
+def _defined(payload, request):
+    """The first label with a word of its definition in the text."""
+    found = F.lit('{"value": null}')
+    for label, definition in reversed(list(zip(request.labels, request.definitions))):
+        hit = F.lit(False)
+        for word in definition.split():
+            hit = hit | F.lower(payload).contains(word)
+        found = F.when(hit, F.lit(keys.canonical_json({"value": label}))).otherwise(found)
+    return found
+
+
+@query("assign_prompted", """
+SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'license|copyright') THEN 'legal' WHEN regexp_matches(lower(text), 'password|secret') THEN 'privacy'
+  WHEN regexp_matches(lower(text), 'refund|worthless') THEN 'value' END AS angle,
+  CASE WHEN contains(lower(text), 'password') THEN 'legal' END AS other_angle FROM documents""")
+def assign_prompted(spark, sf_dir):
+    """One labeler that knows the categories from its request only: other definitions, other answers."""
+    labeler, cache, rows = labelers.PromptedLabeler("defined", _defined), new_cache(spark), documents(spark, sf_dir)
+    for column, definitions in (("angle", ANGLES), ("other_angle", {"legal": "password"})):
+        rows = taxonomy.assign_taxonomy(rows, "text", column, FLAT_GOAL, list(definitions), labeler, category_definitions=definitions,
+                                        cache=cache, table="documents").df
+    return rows.select("doc_id", "angle", "other_angle")
+
+
 def label_prototypes(spark, sf_dir):
     """`(idx, vector)`: the mean embedding of each label."""
     mean = Summarizer.mean(array_to_vector("embedding"))
