@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="glossaframe-"))
     return context.getCheckpointDir().rstrip("/")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +48,10 @@ class Workspace:
         return self.tables[name].df
 
     def _update(self, name: str, result: Enrichment) -> Enrichment:
-        self.register(name, result.df, self.tables[name].source, self.tables[name].parent)
-        return result
+        """The enriched rows are written once, so that later reads scan one table and repeat no key and no join."""
+        written = replace(result, df=stage(result.df, name))
+        self.register(name, written.df, self.tables[name].source, self.tables[name].parent)
+        return written
 
     def describe(self) -> DataFrame:
         """`(name, n_rows, columns, source)`; the rows are counted by the job that reads this frame."""
