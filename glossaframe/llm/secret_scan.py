@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -86,17 +87,33 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _stretches(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the sorted spans cover together."""
+    starts, ends = [], []
+    for start, _, end in spans:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def find(text: str) -> list[tuple[int, int, int]]:
     """All spans as (start, kind's place in KINDS, end), in order. Base spans are always there; a guess span is added
-    for a scored value that no base span touches."""
+    for a scored value that reaches beyond them."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    base.sort()
+    starts, ends = _stretches(base)
     added = []
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip("\"'`,;.)]}>")
         start, end = m.start(1), m.start(1) + len(value)
-        if len(value) >= 8 and not any(a < end and start < b for a, _, b in base) and guess_cost(value) >= MIN_GUESSES_LOG10:
+        k = bisect_right(starts, start) - 1
+        covered = k >= 0 and end <= ends[k]
+        if len(value) >= 8 and not covered and guess_cost(value) >= MIN_GUESSES_LOG10:
             added.append((start, 3, end))
     return sorted(base + added)
 
