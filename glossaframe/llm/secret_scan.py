@@ -24,9 +24,12 @@ ASSIGN_LEAST = 6
 # a run of the class is at least this long or no match, which says the same as dropping shorter runs afterwards
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-# what may stand before a value that is worth scoring, beyond the assign shape
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?|bearer)["']?\x20{0,8}(?:=>|:=|[:=])\x20{0,8}["']?([!-~]{8,256})""", re.I | re.A)
+# what may stand before a value that is worth scoring, beyond the assign shape, with the scheme of an authorization header;
+# values are taken whole, from SHORTEST characters on
+CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?|bearer)["']?\x20{0,8}(?:=>|:=|[:=])\x20{0,8}["']?(?:(?:basic|bearer|digest|negotiate|ntlm|token|api-?key|oauth|hawk|dpop|key)\x20++)?+([!-~]{7,})""", re.I | re.A)
 MIN_GUESSES_LOG10 = 12.0
+# the fewest characters of which the largest class costs that much
+SHORTEST = 7
 # longest segment of a pattern; brute-force spans are not limited
 LONGEST_WORD = 12
 # common parts of chosen passwords, most common first: the rank is the number of guesses
@@ -113,7 +116,7 @@ def find(text: str) -> list[tuple[int, int, int]]:
         start, end = m.start(1), m.start(1) + len(value)
         k = bisect_right(starts, start) - 1
         covered = k >= 0 and end <= ends[k]
-        if len(value) >= 8 and not covered and guess_cost(value) >= MIN_GUESSES_LOG10:
+        if len(value) >= SHORTEST and not covered and guess_cost(value) >= MIN_GUESSES_LOG10:
             added.append((start, 3, end))
     return sorted(base + added)
 
