@@ -74,12 +74,19 @@ def occurrences_of(df: DataFrame, text_column: str, phrases: Sequence[str]) -> D
     return places.where(F.col("phrase").isin(list(phrases)))
 
 
-def variants_of(occurrences: DataFrame) -> DataFrame:
-    """`(phrase, variants)`: the most frequent ways in which each phrase is written."""
-    counted = occurrences.groupBy("phrase", "variant").agg(F.count(F.lit(1)).alias("n"))
-    best = top_n_per_group(counted, ["phrase"], [F.desc("n"), F.col("variant")], fixed.EXAMPLE_ROWS, F.col("variant"))
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "variant")))
-    return best.groupBy("phrase").agg(F.transform(ordered, lambda s: s["variant"]).alias("variants"))
+def variant_counts(occurrences: DataFrame) -> DataFrame:
+    """`(phrase, variant, n)`: every way in which each phrase is written, and how often."""
+    return occurrences.groupBy("phrase", "variant").agg(F.count(F.lit(1)).alias("n"))
+
+
+def variants_of(occurrences: DataFrame, limit: int | None = None) -> DataFrame:
+    """`(phrase, variants)`: the ways in which each phrase is written, most frequent first; all of them unless `limit`
+    says how many."""
+    counted = variant_counts(occurrences)
+    if limit is not None:
+        counted = top_n_per_group(counted, ["phrase"], [F.desc("n"), F.col("variant")], limit, F.col("variant"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "variant")))
+    return counted.groupBy("phrase").agg(F.transform(ordered, lambda s: s["variant"]).alias("variants"))
 
 
 def _definition(support: Column) -> Column:
@@ -144,28 +151,37 @@ def mine_taxonomy(df: DataFrame, text_column: str, where: str | None = None, max
     return out
 
 
-def mine_phrases(df: DataFrame, text_column: str, where: str | None = None, parent_angle_column: str | None = None,
-                 parent_angle_value=None, max_phrases: int = 10, low: int = 2, high: int = 6,
-                 min_support: int = 2, max_share: float = 1.0, prune: bool = True) -> DataFrame:
-    """`(label, definition, support, variants, example_rids, parent_angle)`: the most frequent phrases of all rows.
-
-    A phrase is a run of `low`..`high` words, compared without case and outer punctuation; the ways it is
-    written are its variants. Equal support is ordered by length, longest first, then by text.
-    """
+def _phrase_scope(df: DataFrame, text_column: str, where: str | None, parent_angle_column: str | None, parent_angle_value,
+                  max_phrases: int) -> DataFrame:
     check_columns(df, [RID, text_column])
     if max_phrases <= 0:
         raise ValueError("max_phrases must be positive")
-    scope = drill_down(df, where, parent_angle_column, parent_angle_value)
+    return drill_down(df, where, parent_angle_column, parent_angle_value).select(RID, text_column)
+
+
+def _top_phrases(scope: DataFrame, text_column: str, max_phrases: int, low: int, high: int, min_support: int, max_share: float,
+                 prune: bool) -> DataFrame:
+    """`(phrase, support)` of the most frequent phrases, written once."""
     rows = _scope_size(scope)
-    scope = spread(scope.select(RID, text_column))
-    supports = phrase_support(
-        scope, text_column, low, high, min_support, prune=prune,
-    )
+    supports = phrase_support(spread(scope), text_column, low, high, min_support, prune=prune)
     size = F.size(F.split("phrase", " "))
-    top = stage(
+    return stage(
         supports.where(F.col("support") <= max(1, int(rows * max_share)))
         .orderBy(F.desc("support"), size.desc(), "phrase").limit(max_phrases), "phrases",
     )
+
+
+def mine_phrases(df: DataFrame, text_column: str, where: str | None = None, parent_angle_column: str | None = None,
+                 parent_angle_value=None, max_phrases: int = 10, low: int = 2, high: int = 6,
+                 min_support: int = 2, max_share: float = 1.0, prune: bool = True, max_variants: int | None = None) -> DataFrame:
+    """`(label, definition, support, variants, example_rids, parent_angle)`: the most frequent phrases of all rows.
+
+    A phrase is a run of `low`..`high` words, compared without case and outer punctuation; the ways it is
+    written are its variants, all of them unless `max_variants` says how many. A phrase of very many variants is better
+    read from `mine_phrase_variants`. Equal support is ordered by length, longest first, then by text.
+    """
+    scope = _phrase_scope(df, text_column, where, parent_angle_column, parent_angle_value, max_phrases)
+    top = _top_phrases(scope, text_column, max_phrases, low, high, min_support, max_share, prune)
     phrases = [r["phrase"] for r in top.select("phrase").collect()]  # at most max_phrases
     if not phrases:
         return top.select(
@@ -174,9 +190,9 @@ def mine_phrases(df: DataFrame, text_column: str, where: str | None = None, pare
             F.lit("").alias("parent_angle"),
         )
     # the texts are cut once more; what is left of them is only the places of these phrases
-    occurrences = stage(occurrences_of(scope, text_column, phrases), "phrase-places")
+    occurrences = stage(occurrences_of(spread(scope), text_column, phrases), "phrase-places")
     examples = _first_rows(occurrences.select("phrase", RID).distinct())
-    variants = variants_of(occurrences)
+    variants = variants_of(occurrences, max_variants)
     parent = "" if parent_angle_value is None else str(parent_angle_value)
     return (
         top.join(examples, "phrase", "left").join(variants, "phrase", "left")
@@ -185,6 +201,19 @@ def mine_phrases(df: DataFrame, text_column: str, where: str | None = None, pare
     )
 
 
+def mine_phrase_variants(df: DataFrame, text_column: str, where: str | None = None, parent_angle_column: str | None = None,
+                         parent_angle_value=None, max_phrases: int = 10, low: int = 2, high: int = 6,
+                         min_support: int = 2, max_share: float = 1.0, prune: bool = True) -> DataFrame:
+    """`(label, support, variant, n)`: the phrases of `mine_phrases` with every way in which they are written, a row each."""
+    scope = _phrase_scope(df, text_column, where, parent_angle_column, parent_angle_value, max_phrases)
+    top = _top_phrases(scope, text_column, max_phrases, low, high, min_support, max_share, prune)
+    phrases = [r["phrase"] for r in top.select("phrase").collect()]  # at most max_phrases
+    if not phrases:
+        return top.select(F.col("phrase").alias("label"), "support", F.lit("").alias("variant"), F.lit(0).cast("bigint").alias("n"))
+    counted = variant_counts(occurrences_of(spread(scope), text_column, phrases))
+    return counted.join(F.broadcast(top), "phrase").select(F.col("phrase").alias("label"), "support", "variant", "n")
+
+
 # ---- proposals made by a model from a sample --------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..operators import mining
 from ..sources.row_ids import RID
 from .loading import documents
@@ -65,6 +66,14 @@ def issue_phrases_all(spark, sf_dir):
     return mining.mine_phrases(documents(spark, sf_dir), "text", high=3).select("label", "support")
 
 
+@query("issue_phrase_variants", _with(2, 6) + """,
+top AS (SELECT phrase AS label, support FROM support WHERE support >= 2 ORDER BY support DESC, words DESC, phrase LIMIT 10)
+SELECT label, support, surface AS variant, count(*) AS n FROM runs JOIN top ON norm = label GROUP BY label, support, surface""")
+def issue_phrase_variants(spark, sf_dir):
+    """The whole table with the operator's own run lengths, and every variant."""
+    return mining.mine_phrase_variants(documents(spark, sf_dir), "text")
+
+
 PHRASES = _with(2, 6, "WHERE lang = 'en' AND n_chars > 100") + f""",
 top AS (SELECT phrase AS label, support, words FROM support, total WHERE support <= greatest(1, floor(n * 0.5)) AND support >= 2
   ORDER BY support DESC, words DESC, phrase LIMIT 10),
@@ -76,7 +85,8 @@ SELECT label, support, examples, 'en' AS parent_angle, variants FROM top JOIN ex
 
 
 def _phrases(spark, sf_dir, prune: bool):
-    found = mining.mine_phrases(documents(spark, sf_dir), "text", "n_chars > 100", "lang", "en", max_share=0.5, prune=prune)
+    found = mining.mine_phrases(documents(spark, sf_dir), "text", "n_chars > 100", "lang", "en", max_share=0.5, prune=prune,
+                                max_variants=fixed.EXAMPLE_ROWS)  # as many as the SQL has
     return found.select("label", "support", F.array_join(F.col("example_rids").cast("array<string>"), ",").alias("examples"),
                         "parent_angle", F.array_join("variants", "|").alias("variants"))
 
