@@ -49,14 +49,19 @@ def _blocks(vectors: DataFrame, index: str, vector: str) -> Iterator[tuple[np.nd
     low = None
     while True:
         rest = vectors if low is None else vectors.where(F.col(index) > F.lit(low))
-        part = rest.select(index, vector).orderBy(index).limit(rows_per_block).toArrow()
+        part = rest.select(index, vector).orderBy(index).limit(rows_per_block + 1).toArrow()
         if part.num_rows == 0:
             return
         indexes = np.asarray(part.column(0), dtype="int64")
-        yield indexes, unit_rows(column_matrix(part.column(1), dim))
-        if part.num_rows < rows_per_block:
+        size = len(indexes)
+        if size > rows_per_block:  # rows of one index stay together
+            size = int(np.searchsorted(indexes, indexes[-1]))
+            if size == 0:
+                raise ValueError(f"{index} {indexes[-1]} has more than {rows_per_block} rows")
+        yield indexes[:size], unit_rows(column_matrix(part.column(1).slice(0, size), dim))
+        if part.num_rows <= rows_per_block:
             return
-        low = int(indexes[-1])
+        low = int(indexes[size - 1])
 
 
 def best_prototype(df: DataFrame, vector: str, prototypes: DataFrame, index: str = "idx",
