@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, merkle, packing, quality_rules, secret_scan, simhash_dedup, token_counts, token_files, warc
+from . import (byte_bpe, line_dedup, lm_scoring, merkle, packing, quality_rules, secret_scan, simhash_dedup, spelling, token_counts, token_files,
+               vector_codes, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 # Rows that go to a Python worker at a time. Texts can be long, so this is well below Spark's default of 10,000.
@@ -79,8 +80,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_simhash_dedup, op2_merkle, op3_secret_scan, op4_token_counts, op5_token_files, op6_warc, op7_line_dedup, op8_packing,
-    op9_quality_rules, op10_byte_bpe)}
+    op9_quality_rules, op10_byte_bpe, op11_lm_scoring, op12_spelling_variants, op13_vector_codes)}
 # SQL for those that it can express
 SQL: dict[str, str] = {}
