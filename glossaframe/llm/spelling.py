@@ -220,7 +220,9 @@ def near_words(words: DataFrame, shard_words: int = SHARD_WORDS, least_length: i
     roles = F.concat(F.transform(every, lambda p: F.struct(F.lit(True).alias("indexed"), F.col("part").alias("index"), p.alias("query"))),
                      F.transform(every, lambda p: F.struct(F.lit(False).alias("indexed"), p.alias("index"), F.col("part").alias("query"))))
     cells = sized.select("backwards", "shard", "word", "n", F.explode(roles).alias("x")).select("backwards", "shard", "word", "n", "x.*")
-    found = cells.groupBy("backwards", "shard", "index", "query").applyInArrow(_searched, "word string, near string, near_n bigint")
+    # small tables and long searches: as many tasks as shards, whatever their size in bytes
+    cell = ["backwards", "shard", "index", "query"]
+    found = cells.repartition(2 * shards, *cell).groupBy(*cell).applyInArrow(_searched, "word string, near string, near_n bigint")
     return found.distinct()
 
 
