@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_similarity
-from ..operators import labelers, sampling, similarity, topics
+from ..operators import labelers, neighbours, sampling, similarity, topics
 from ..sources import readers
 from ..sources.row_ids import RID
 from .enrichment import PROTOTYPES, label_prototypes
@@ -35,6 +35,34 @@ def nearest_neighbours(spark, sf_dir):
     return found.select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+def _nearest_sql(candidates: str, k: int) -> str:
+    """The k nearest of the pairs (q, e) that a FROM clause gives, for every query whose id is divisible by 50."""
+    return f"""SELECT query_id, vec_id, rank, round(round(sim, 9), 6) AS similarity FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS sim,
+    CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS INTEGER) AS rank
+  FROM {candidates} WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id) WHERE rank <= {k}"""
+
+
+@query("nearest_neighbours_in_lists", f"""WITH {PROTOTYPES},
+r AS (SELECT vec_id, idx, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, idx) AS near FROM s),
+probed AS (SELECT q.vec_id AS query_id, l.vec_id FROM r q JOIN b l ON q.idx = l.best_idx WHERE q.near <= 3)
+""" + _nearest_sql("probed JOIN embeddings q ON q.vec_id = query_id JOIN embeddings e ON e.vec_id = probed.vec_id", 5))
+def nearest_neighbours_in_lists(spark, sf_dir):
+    """Every row in the list of its nearest label centre; every 50th vector against the rows of its three nearest lists."""
+    table = read(spark, sf_dir, "embeddings")
+    index = neighbours.InvertedLists.build(table, label_prototypes(spark, sf_dir))
+    found = index.search(table.where("vec_id % 50 = 0"), 5, probes=3)
+    return found.select("query_id", F.col("id").alias("vec_id"), "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query("nearest_neighbours_by_bounds", _nearest_sql("embeddings q, embeddings e", 5))
+def nearest_neighbours_by_bounds(spark, sf_dir):
+    """Lists under fitted centres; after a first probe, only lists that may hold nearer rows are searched. Equals all pairs."""
+    table = read(spark, sf_dir, "embeddings")
+    found = neighbours.approximate_neighbours(table, table.where("vec_id % 50 = 0"), 5, probes=2, exact=True)
+    return found.select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 def _greedy_sql(k: int) -> str:
     """The picks one after the other, each by its own subquery."""
     steps = ["r AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, embedding::DOUBLE[] AS v FROM embeddings)",
