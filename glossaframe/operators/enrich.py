@@ -173,7 +173,7 @@ def run(df: DataFrame, *, row_content: Column, payload: Column, prompt: str, sch
 
     use_cache = cache is not None and rerun_mode == "reuse" and not cache.is_empty()
     if use_cache:
-        known = cache.values(None if share_across_tables else table)
+        known = cache.values(None if share_across_tables else table, groups)
         probed = stage(groups.join(known, "cache_key", "left"), "cache-probe")
         misses = probed.where(F.col("value_json").isNull()).select("cache_key", "rep", "n_rows")
         hits = probed.where(F.col("value_json").isNotNull()).select(

@@ -69,6 +69,22 @@ def derive_prompted(spark, sf_dir):
     return rows.select("doc_id", "on_license", "on_refund")
 
 
+@query("derive_columns_apart", f"""
+SELECT row_number() OVER (ORDER BY doc_id) AS _rid, doc_id, text, lang, source, n_chars, {KIND_SQL} AS kind,
+  contains(lower(text), 'license') AS on_license, contains(lower(text), 'refund') AS on_refund FROM documents""")
+def derive_columns_apart(spark, sf_dir):
+    """Three columns as three narrow tables beside the documents, read together without an exchange."""
+    from ..workspace import Workspace
+
+    workspace = Workspace(spark, new_path(spark, "judgements"), columns_apart=True)
+    workspace.register("documents", documents(spark, sf_dir), path_of(sf_dir, "documents"))
+    workspace.derive_column("documents", "kind", ["text"], KIND_PROMPT, "enum", enum_values=KIND_VALUES, labeler=kind_labeler())
+    for word in ("license", "refund"):
+        workspace.derive_column("documents", f"on_{word}", ["text"], f"Does it speak of '{word}'?", "boolean",
+                                labeler=labelers.PromptedLabeler("quoted-word", _quoted_word))
+    return workspace.table("documents")
+
+
 @query("derive_number", """
 SELECT event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) >= 10
   THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) / 4 END AS k_number FROM events""")

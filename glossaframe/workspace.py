@@ -12,6 +12,7 @@ from .functions import fixed
 from .operators import enrich, filters, mining, sampling, taxonomy, topics
 from .operators.cache import JudgementCache
 from .operators.enrich import Enrichment, check_identifier
+from .operators.sides import SideTables
 from .session import configure
 from .scratch import stage
 from .sources import readers, search, writers
@@ -28,11 +29,15 @@ class Table:
 class Workspace:
     """Tables are immutable frames; an operator that adds a column registers a new frame under the same name."""
 
-    def __init__(self, spark: SparkSession, cache_path: str | None = None, labeler=None, encoder=None):
+    def __init__(self, spark: SparkSession, cache_path: str | None = None, labeler=None, encoder=None, columns_apart: bool = False):
+        """With `columns_apart`, a table is written in buckets when it gets its first new column, and each new column is a
+        table of its own beside it; else the whole table is written anew with each."""
         self.spark = configure(spark)
         self.cache = JudgementCache(spark, cache_path) if cache_path else None
         self.labeler, self.encoder = labeler, encoder
         self.tables: dict[str, Table] = {}
+        self.columns_apart = columns_apart
+        self.apart: dict[str, SideTables] = {}
 
     # ---- catalog ------------------------------------------------------------------------------------------
 
@@ -40,6 +45,12 @@ class Workspace:
         check_identifier(name)
         df.createOrReplaceTempView(name)
         self.tables[name] = Table(df, source, parent)
+        self.apart.pop(name, None)
+        return df
+
+    def _show_apart(self, name: str, apart: SideTables) -> DataFrame:
+        df = self.register(name, apart.frame(), self.tables[name].source, self.tables[name].parent)
+        self.apart[name] = apart
         return df
 
     def table(self, name: str) -> DataFrame:
@@ -48,7 +59,12 @@ class Workspace:
         return self.tables[name].df
 
     def _update(self, name: str, result: Enrichment) -> Enrichment:
-        """The enriched rows are written once, so that later reads scan one table and repeat no key and no join."""
+        """The enriched rows (or, with `columns_apart`, only the new columns) are written once, so that later reads repeat no key
+        and no lookup."""
+        if self.columns_apart:
+            apart = self.apart.get(name) or SideTables(self.table(name), name=name)
+            apart.add(result.df, result.columns)
+            return replace(result, df=self._show_apart(name, apart))
         written = replace(result, df=stage(result.df, name))
         self.register(name, written.df, self.tables[name].source, self.tables[name].parent)
         return written
@@ -188,9 +204,12 @@ class Workspace:
                     continue
                 df = self.table(name)
                 gone = [c for c in joined.split("|") if c in df.columns and c != RID]
-                if gone:
+                if gone and name in self.apart:
+                    self.apart[name].drop(gone)
+                    self._show_apart(name, self.apart[name])
+                elif gone:
                     self.register(name, df.drop(*gone), self.tables[name].source, self.tables[name].parent)
-                    dropped += [f"{name}.{c}" for c in gone]
+                dropped += [f"{name}.{c}" for c in gone]
         deleted = 0 if workspace_only or not pairs else cache.delete(**chosen, all_entries=all_entries)
         return {"matched": len(pairs), "deleted": deleted, "dropped": sorted(dropped)}
 
@@ -199,3 +218,4 @@ class Workspace:
         for name in self.tables:
             self.spark.catalog.dropTempView(name)
         self.tables.clear()
+        self.apart.clear()
