@@ -14,11 +14,9 @@ from ..scratch import stage
 from ..sources.row_ids import RID
 from .enrich import check_choice, check_columns
 from .filters import drill_down
+from .runs import frequent_runs
 from .sampling import sample_rows
-from .skew import spread, top_n_per_group
-
-# Hash buckets of the pruning pass. The table of heavy buckets never has more rows than this.
-PRUNE_BUCKETS = 1 << 20
+from .skew import fan_out, spread, top_n_per_group
 
 
 def _with_grams(df: DataFrame, text_column: str, low: int, high: int) -> DataFrame:
@@ -27,21 +25,21 @@ def _with_grams(df: DataFrame, text_column: str, low: int, high: int) -> DataFra
     return with_ngrams(df.select(RID, tokens.alias("__tokens")), "__tokens", "__grams", low, high).select(RID, "__grams")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows in enough partitions to cut texts in: as they are, unless a table comes in fewer splits than a shuffle has."""
+    return df if df.rdd.getNumPartitions() >= fan_out(df.sparkSession) else spread(df)
+
+
 def phrase_support(df: DataFrame, text_column: str, low: int, high: int, min_rows: int, prune: bool = False) -> DataFrame:
     """`(phrase, support)`: in how many rows each word run occurs, if in at least `min_rows`.
 
     Runs are made distinct inside each row, so a plain count is the number of rows and combines map-side.
-    `prune` first counts hash buckets instead of phrases: a bucket below the threshold cannot hold a frequent
-    phrase, so the long tail of rare phrases is dropped in the scan and never shuffled. The result is the same.
+    `prune` goes level by level: a run is only looked at where both its runs of one word less are frequent, so the long
+    tail of rare runs is never listed. The result is the same.
     """
-    grams = explode_values(_with_grams(df, text_column, low, high), [], F.col("__grams"), "phrase")
     if prune:
-        bucket = F.pmod(F.xxhash64("phrase"), F.lit(PRUNE_BUCKETS))
-        heavy = (
-            grams.groupBy(bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_rows)
-        )
-        heavy = stage(heavy.select("__bucket"), "heavy-buckets")
-        grams = grams.withColumn("__bucket", bucket).join(F.broadcast(heavy), "__bucket", "left_semi").drop("__bucket")
+        return frequent_runs(df, text_column, low, high, min_rows).supports(low).select("phrase", "support")
+    grams = explode_values(_with_grams(df, text_column, low, high), [], F.col("__grams"), "phrase")
     counted = grams.groupBy("phrase").agg(F.count(F.lit(1)).alias("support"))
     return counted.where(F.col("support") >= min_rows)
 
@@ -116,7 +114,7 @@ def mine_taxonomy(df: DataFrame, text_column: str, where: str | None = None, max
         raise ValueError("max_categories must be positive")
     scope = df.where(F.expr(where)) if where else df
     rows = _scope_size(scope)
-    scope = spread(scope.select(RID, text_column))
+    scope = _dealt(scope.select(RID, text_column))
     most = int(rows * max_share)
     high = 1 if taxonomy_shape == "flat" else 3
     supports = phrase_support(scope, text_column, 1, high, min_support, prune=high > 1)
@@ -160,39 +158,55 @@ def _phrase_scope(df: DataFrame, text_column: str, where: str | None, parent_ang
 
 
 def _top_phrases(scope: DataFrame, text_column: str, max_phrases: int, low: int, high: int, min_support: int, max_share: float,
-                 prune: bool) -> DataFrame:
-    """`(phrase, support)` of the most frequent phrases, written once."""
-    rows = _scope_size(scope)
-    supports = phrase_support(spread(scope), text_column, low, high, min_support, prune=prune)
-    size = F.size(F.split("phrase", " "))
-    return stage(
-        supports.where(F.col("support") <= max(1, int(rows * max_share)))
-        .orderBy(F.desc("support"), size.desc(), "phrase").limit(max_phrases), "phrases",
-    )
+                 prune: bool, closed: bool) -> tuple[DataFrame, DataFrame]:
+    """`(phrase, support)` of the most frequent phrases, written once, and `(_rid, phrase, variant)` for each of their places."""
+    rows, dealt = _scope_size(scope), _dealt(scope)
+    if closed and not prune:
+        raise ValueError("closed phrases are mined level by level: closed needs prune")
+    if prune:
+        runs = frequent_runs(dealt, text_column, low, high, min_support)
+        supports = runs.supports(low, closed)
+    else:
+        size = F.size(F.split("phrase", " "))
+        supports = phrase_support(dealt, text_column, low, high, min_support).withColumn("words", size).withColumn("h", F.lit(0).cast("bigint"))
+    top = stage(supports.where(F.col("support") <= max(1, int(rows * max_share)))
+                .orderBy(F.desc("support"), F.desc("words"), "phrase").limit(max_phrases), "phrases")
+    chosen = top.collect()  # at most max_phrases
+    if not chosen:
+        places = dealt.select(RID, F.lit("").alias("phrase"), F.lit("").alias("variant")).limit(0)
+    elif prune:
+        hashes: dict[int, list[int]] = {}
+        for r in chosen:
+            hashes.setdefault(r["words"], []).append(r["h"])
+        # only rows that hold a chosen phrase are cut once more, for the way it is written
+        at = runs.places_of(hashes).groupBy(RID).agg(F.collect_list(F.struct("pos", "h")).alias("at"))
+        named = F.create_map(*[F.lit(x) for r in chosen for x in (r["h"], r["phrase"])])
+        surface = F.transform(surface_words(text_or_empty(F.col(f"`{text_column}`"))), lambda p: p["surface"])
+        cut = stage(scope.join(at, RID).select(RID, surface.alias("words"), "at"), "phrase-rows")
+        written = F.transform("at", lambda p: F.struct(named[p["h"]].alias("phrase"), F.concat_ws(" ", F.slice(
+            "words", p["pos"] + 1, F.size(F.split(named[p["h"]], " ")))).alias("variant")))
+        places = explode_values(cut, [RID], written, "p").select(RID, "p.phrase", "p.variant")
+    else:
+        places = occurrences_of(dealt, text_column, [r["phrase"] for r in chosen])
+    return top.select("phrase", "support"), places
 
 
 def mine_phrases(df: DataFrame, text_column: str, where: str | None = None, parent_angle_column: str | None = None,
                  parent_angle_value=None, max_phrases: int = 10, low: int = 2, high: int = 6,
-                 min_support: int = 2, max_share: float = 1.0, prune: bool = True, max_variants: int | None = None) -> DataFrame:
+                 min_support: int = 2, max_share: float = 1.0, prune: bool = True, max_variants: int | None = None,
+                 closed: bool = False) -> DataFrame:
     """`(label, definition, support, variants, example_rids, parent_angle)`: the most frequent phrases of all rows.
 
     A phrase is a run of `low`..`high` words, compared without case and outer punctuation; the ways it is
     written are its variants, all of them unless `max_variants` says how many. A phrase of very many variants is better
-    read from `mine_phrase_variants`. Equal support is ordered by length, longest first, then by text.
+    read from `mine_phrase_variants`. Equal support is ordered by length, longest first, then by text. `closed` leaves out
+    phrases that are part of a phrase one word longer (of at most `high`) in as many rows.
     """
     scope = _phrase_scope(df, text_column, where, parent_angle_column, parent_angle_value, max_phrases)
-    top = _top_phrases(scope, text_column, max_phrases, low, high, min_support, max_share, prune)
-    phrases = [r["phrase"] for r in top.select("phrase").collect()]  # at most max_phrases
-    if not phrases:
-        return top.select(
-            F.col("phrase").alias("label"), _definition(F.col("support")).alias("definition"), "support",
-            F.array().cast("array<string>").alias("variants"), F.array().cast("array<bigint>").alias("example_rids"),
-            F.lit("").alias("parent_angle"),
-        )
-    # the texts are cut once more; what is left of them is only the places of these phrases
-    occurrences = stage(occurrences_of(spread(scope), text_column, phrases), "phrase-places")
-    examples = _first_rows(occurrences.select("phrase", RID).distinct())
-    variants = variants_of(occurrences, max_variants)
+    top, places = _top_phrases(scope, text_column, max_phrases, low, high, min_support, max_share, prune, closed)
+    places = stage(places, "phrase-places")
+    examples = _first_rows(places.select("phrase", RID).distinct())
+    variants = variants_of(places, max_variants)
     parent = "" if parent_angle_value is None else str(parent_angle_value)
     return (
         top.join(examples, "phrase", "left").join(variants, "phrase", "left")
@@ -203,15 +217,11 @@ def mine_phrases(df: DataFrame, text_column: str, where: str | None = None, pare
 
 def mine_phrase_variants(df: DataFrame, text_column: str, where: str | None = None, parent_angle_column: str | None = None,
                          parent_angle_value=None, max_phrases: int = 10, low: int = 2, high: int = 6,
-                         min_support: int = 2, max_share: float = 1.0, prune: bool = True) -> DataFrame:
+                         min_support: int = 2, max_share: float = 1.0, prune: bool = True, closed: bool = False) -> DataFrame:
     """`(label, support, variant, n)`: the phrases of `mine_phrases` with every way in which they are written, a row each."""
     scope = _phrase_scope(df, text_column, where, parent_angle_column, parent_angle_value, max_phrases)
-    top = _top_phrases(scope, text_column, max_phrases, low, high, min_support, max_share, prune)
-    phrases = [r["phrase"] for r in top.select("phrase").collect()]  # at most max_phrases
-    if not phrases:
-        return top.select(F.col("phrase").alias("label"), "support", F.lit("").alias("variant"), F.lit(0).cast("bigint").alias("n"))
-    counted = variant_counts(occurrences_of(spread(scope), text_column, phrases))
-    return counted.join(F.broadcast(top), "phrase").select(F.col("phrase").alias("label"), "support", "variant", "n")
+    top, places = _top_phrases(scope, text_column, max_phrases, low, high, min_support, max_share, prune, closed)
+    return variant_counts(places).join(F.broadcast(top), "phrase").select(F.col("phrase").alias("label"), "support", "variant", "n")
 
 
 # ---- proposals made by a model from a sample --------------------------------------------------------------

@@ -74,6 +74,16 @@ def issue_phrase_variants(spark, sf_dir):
     return mining.mine_phrase_variants(documents(spark, sf_dir), "text")
 
 
+@query("issue_phrases_closed", _with(2, 6) + """,
+whole AS (SELECT DISTINCT string_split(phrase, ' ') AS l, support, words FROM support WHERE support >= 2 AND words > 2),
+pieces AS (SELECT array_to_string(l[1:words - 1], ' ') AS phrase, support FROM whole UNION SELECT array_to_string(l[2:words], ' '), support FROM whole)
+SELECT phrase AS label, support FROM support s WHERE support >= 2 AND NOT EXISTS (SELECT 1 FROM pieces p WHERE p.phrase = s.phrase AND p.support = s.support)
+ORDER BY support DESC, words DESC, phrase LIMIT 100""")
+def issue_phrases_closed(spark, sf_dir):
+    """No phrase that is only a part of a longer one."""
+    return mining.mine_phrases(documents(spark, sf_dir), "text", max_phrases=100, closed=True).select("label", "support")
+
+
 PHRASES = _with(2, 6, "WHERE lang = 'en' AND n_chars > 100") + f""",
 top AS (SELECT phrase AS label, support, words FROM support, total WHERE support <= greatest(1, floor(n * 0.5)) AND support >= 2
   ORDER BY support DESC, words DESC, phrase LIMIT 10),

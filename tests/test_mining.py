@@ -1,12 +1,14 @@
 """Mined and proposed taxonomies and phrases, topics."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from glossaframe.functions.text import infer_polarity, polarity_of
 from glossaframe.operators import labelers, mining, topics
+from glossaframe.operators.runs import frequent_runs
 
 TEXTS = [
     "The dock is far from the station. Far from the station!", "Honestly far from the station, and rusty.",
@@ -36,10 +38,38 @@ def test_support_counts_rows(posts, prune):
     assert got == {p: n for p, n in brute_support(TEXTS, 2, 4).items() if n >= 2}
 
 
-def test_pruning_changes_nothing_when_buckets_collide(posts, monkeypatch):
-    monkeypatch.setattr(mining, "PRUNE_BUCKETS", 3)
-    pruned = mining.phrase_support(posts, "content", 1, 3, 2, True).collect()
-    assert sorted(map(tuple, pruned)) == sorted(map(tuple, mining.phrase_support(posts, "content", 1, 3, 2).collect()))
+@pytest.mark.parametrize("low,high", [(1, 1), (1, 3), (2, 6), (3, 4)])
+def test_levels_change_nothing(posts, low, high):
+    pruned = mining.phrase_support(posts, "content", low, high, 2, True).collect()
+    assert sorted(map(tuple, pruned)) == sorted(map(tuple, mining.phrase_support(posts, "content", low, high, 2).collect()))
+    assert mining.phrase_support(posts, "content", low, high, 50, True).isEmpty()
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_closed_phrases_against_all_pairs(spark, least):
+    """Many overlapping runs, words that repeat in a row, and rows too short for a run."""
+    rng = random.Random(least)
+    texts = [" ".join(rng.choices(["a", "b", "c", "dd"], weights=[6, 3, 2, 1], k=rng.randint(0, 14))) for _ in range(40)] + ["a", "", None, "a a a a a a a a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_rid bigint, content string").repartition(3)
+    support = {p: n for p, n in brute_support(texts, 2, 5).items() if n >= least}
+    closed = {p: n for p, n in support.items()
+              if not any(n == m and f" {p} " in f" {q} " and len(q.split()) == len(p.split()) + 1 for q, m in support.items())}
+    runs = frequent_runs(rows, "content", 2, 5, least)
+    assert {r.phrase: r.support for r in runs.supports(2).collect()} == support
+    assert {r.phrase: r.support for r in runs.supports(2, closed=True).collect()} == closed
+    assert 0 < len(closed) < len(support)
+    top = {r.label: r.support for r in mining.mine_phrases(rows, "content", high=5, min_support=least, max_phrases=7, closed=True).collect()}
+    assert top == dict(sorted(closed.items(), key=lambda x: (-x[1], -len(x[0].split()), x[0]))[:7])
+
+
+def test_fewer_rows_are_listed_than_all_runs(spark):
+    """What each level lists are places where two frequent runs overlap, not all runs of the texts."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) + " the same end" for i in range(30)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_rid bigint, content string")
+    runs = frequent_runs(rows, "content", 1, 4, 2)
+    listed = {n: sum(len(r["at"]) for r in places.collect()) for n, places in runs.places.items()}
+    assert listed == {1: 90, 2: 60, 3: 30}  # of 30 * 53, 30 * 52 and 30 * 51 runs
+    assert [r.phrase for r in runs.levels[3].collect()] == ["the same end"]
 
 
 def test_phrases_with_variants_and_examples(posts):
@@ -56,7 +86,7 @@ def test_phrases_with_variants_and_examples(posts):
 
 def test_flat_and_hierarchical_taxonomies(posts):
     flat = mining.mine_taxonomy(posts, "content", max_categories=3, min_support=2, max_share=0.5, min_chars=4, include_other=True).collect()
-    assert {(r["label"], r["support"]) for r in flat} == {("rusty", 3), ("feels", 2), ("heavy", 2), ("other", 0)}
+    assert {(r["label"], r["support"]) for r in flat} == {("rusty", 3), ("feels", 2), ("from", 2), ("other", 0)}
     tree = mining.mine_taxonomy(posts, "content", taxonomy_shape="hierarchical", min_support=2, max_share=0.5, min_chars=4, max_parent_categories=2).collect()
     # "feels rusty" holds both parents and belongs to the more frequent one
     assert {r["parent"] for r in tree} == {"rusty"} and "feels rusty" in {r["label"] for r in tree}
