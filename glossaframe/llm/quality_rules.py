@@ -139,6 +139,9 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the rows that are kept. Rows that share an id are kept if one of them is."""
-    kept = judged(docs, id_col, text_col).where("kept").select(F.col("id").alias("__id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    """All columns of the rows that are kept. A row is known by its id and a hash of its text, so rows that share an id, or
+    have none, are judged each; rows of equal id and text are judged alike."""
+    marked = docs.withColumn("__row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")))
+    kept = judged(marked, "__row", text_col).where("kept").select("id.*").distinct()
+    same = F.col("__row.id").eqNullSafe(kept["id"]) & (F.col("__row.text_hash") == kept["text_hash"])
+    return marked.join(kept.select("id", "text_hash"), same, "left_semi").drop("__row")

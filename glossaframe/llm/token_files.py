@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import new_path, stage
 from .encode import text_encoder
-from .files import create, open_random
+from .files import create, open_random, shared_folder
 
 BLOCK = 1 << 16
 MARK = b"FWTOKEN1"
@@ -120,7 +120,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     texts; a null id comes first, a null text is an empty one. An empty table makes no file.
     """
     spark = docs.sparkSession
-    folder = new_path(spark, "token-files")
+    folder = shared_folder(spark, new_path(spark, "token-files"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

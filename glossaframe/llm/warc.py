@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import new_path, stage
-from .files import create, open_stream
+from .files import create, open_stream, shared_folder
 
 CHUNK = 1 << 20
 DATE = "2000-01-01T00:00:00Z"  # pages carry no time of their own
@@ -117,7 +117,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Only digests are grouped, and only those that occur twice or more are joined back.
     """
     spark = pages.sparkSession
-    folder = new_path(spark, "warc")
+    folder = shared_folder(spark, new_path(spark, "warc"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     marked = rows.withColumn("digest", F.when(F.octet_length("html") >= least_bytes, F.sha1("html")))
     kept = (marked.select("id", "digest").where(F.col("digest").isNotNull()).groupBy("digest")

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import public_tokenizers
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from conftest_llm import SF_SMALL, groups_of
@@ -350,47 +351,45 @@ def distance(a, b):
     return row[-1]
 
 
-def plain_lines(rows):
-    """{id: lines that go}, by comparing all pairs of distinct normal forms."""
-    import xxhash
+def similar_pairs(forms):
+    """Places of all pairs of forms of sufficient edit similarity, each pair compared."""
+    spark = SparkSession.getActiveSession()
+    table = spark.createDataFrame(list(enumerate(forms)), "i int, form string").withColumn("n", F.char_length("form"))
+    other = table.select(F.col("i").alias("j"), F.col("form").alias("other"), F.col("n").alias("m"))
+    most = F.floor(F.greatest("n", "m") * (1 - line_dedup.SIMILARITY) + 1e-9).cast("int")
+    pairs = table.repartition(16).join(other, (F.col("i") < F.col("j")) & (F.abs(F.col("n") - F.col("m")) <= most))
+    return [(r.i, r.j) for r in pairs.where(F.call_function("levenshtein", "form", "other", most) >= 0).select("i", "j").collect()]
+
 
-    first, places = {}, defaultdict(list)
+def plain_lines(rows):
+    """{(id, text): lines that go}, by comparing all pairs of distinct normal forms by edit similarity alone."""
+    spark = SparkSession.getActiveSession()
+    texts = list({t for _, t in rows})
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    first, places = {}, defaultdict(set)
     for doc_id, text in rows:
         for n, line in enumerate((text or "").split("\n")):
             words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line))
             if words:
-                form, place = " ".join(words), (doc_id is None, doc_id or 0, n)
-                places[form].append((doc_id, n))
+                form, place = " ".join(words), (doc_id is None, doc_id or 0, hashes[text], n)
+                places[form].add((doc_id, text, n))
                 first[form] = min(first.get(form, place), place)
     forms = list(first)
-    sims = []
-    for form in forms:
-        hashes = [xxhash.xxh64_intdigest(w.encode()) for w in set(form.split(" "))]
-        sims.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
-    values = np.array(sims, np.uint64)
-
-    def links():
-        for i, form in enumerate(forms):
-            for j in np.flatnonzero(np.bitwise_count(values[:i] ^ values[i]) <= line_dedup.RADIUS).tolist():
-                longer = max(len(form), len(forms[j]))
-                if not (first[form][0] or first[forms[j]][0]) and distance(form, forms[j]) <= int(longer * (1 - line_dedup.SIMILARITY) + 1e-9):
-                    yield i, j
-
-    root = groups_of(len(forms), links())
+    root = groups_of(len(forms), similar_pairs(forms))
     kept = {}
     for i, form in enumerate(forms):
         kept[root[i]] = min(kept.get(root[i], first[form]), first[form])
     gone = defaultdict(set)
     for i, form in enumerate(forms):
-        for doc_id, n in places[form]:
-            if (doc_id is None, doc_id or 0, n) != kept[root[i]]:
-                gone[doc_id].add(n)
+        for doc_id, text, n in places[form]:
+            if (doc_id is None, doc_id or 0, hashes[text], n) != kept[root[i]]:
+                gone[doc_id, text].add(n)
     return gone
 
 
 def deduped(rows):
     gone = plain_lines(rows)
-    return sorted(((i, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i])) for i, t in rows), key=repr)
+    return sorted(((i, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i, t])) for i, t in rows), key=repr)
 
 
 def test_line_dedup(spark, documents):
@@ -416,6 +415,22 @@ def test_line_dedup_of_variants_and_odd_rows(spark, edge, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id_or_have_none(spark):
+    rows = [(None, "shared line here\nonly in the first"), (None, "shared line here\nonly in the second"), (7, "one more unique line\nshared line here"),
+            (7, "quite another text of seven"), (7, "quite another text of seven"), (8, "quite another text of seven")]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=repr) == sorted([
+        (None, "only in the first"), (None, "only in the second"), (7, "one more unique line\nshared line here"),
+        (7, "quite another text of seven"), (7, "quite another text of seven"), (8, "")], key=repr)
+
+
+def test_good_rows_without_an_id_do_not_keep_the_bad_ones(spark):
+    good = "Every sentence of this text is different from the others. It has many words, and they do not repeat themselves much at all."
+    bad = "spam eggs ham toast jam " * 12
+    rows = [(None, good), (None, bad), (5, good + " Five."), (5, bad + "five")]
+    assert {r.text for r in quality_rules.keep_good(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {good, good + " Five."}
+
+
 def test_normal_forms_agree(spark, edge):
     for r in edge.where("text is not null").select("text", line_dedup.normal_form(F.col("text")).alias("form")).collect():
         assert r.form == b" ".join(r.text.encode().lower().split()).decode()
