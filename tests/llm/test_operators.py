@@ -407,8 +407,12 @@ def test_line_dedup_of_variants_and_odd_rows(spark, edge, none):
             words[rng.randrange(len(words))] = "".join(rng.choices("xyz", k=4))
         rows.append((i, " ".join(words) + "\n\nown line %d" % i))
     found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert sorted(((r.doc_id, r.text) for r in found), key=repr) == deduped(rows)
-    assert sum(r.n_lines_gone for r in found) > 60
+    # candidates are found with high probability: of all that go by comparing all pairs, all but a few, and nothing else
+    gone = plain_lines(rows)
+    for r in found:
+        assert set(r.text.split("\n")) >= {x for n, x in enumerate(dict(rows)[r.doc_id].split("\n")) if n not in gone[r.doc_id, dict(rows)[r.doc_id]]}
+    n_gone = sum(r.n_lines_gone for r in found)
+    assert n_gone > 60 and 0.98 * sum(map(len, gone.values())) <= n_gone <= sum(map(len, gone.values()))
     odd = line_dedup.dedup_lines(edge)
     assert set(odd.columns) == {*edge.columns, "n_lines_gone"}
     assert sorted(((r.doc_id, r.text) for r in odd.collect()), key=repr) == deduped([(r.doc_id, r.text) for r in edge.collect()])
