@@ -2,7 +2,7 @@
 
 import pytest
 
-from glossaframe.llm.secret_scan import KINDS, find, redact_text
+from glossaframe.llm.secret_scan import KINDS, RANK, WORDS, find, guess_cost, ranked_words, redact, redact_text, scan
 
 
 @pytest.mark.parametrize("text, redacted", [
@@ -30,3 +30,38 @@ def test_base_spans_stay():
 ])
 def test_values_of_every_length_and_after_a_scheme(text, redacted):
     assert redact_text(text) == redacted
+
+
+@pytest.mark.parametrize("text, redacted", [
+    ("a bypass: understanding it", "a bypass: understanding it"),
+    ("the compass: northwestern side", "the compass: northwestern side"),
+    ("db_passphrase: aZ3!kQ9#x end", "db_passphrase: [guess] end"),
+    ("dbPassphrase: aZ3!kQ9#x end", "dbPassphrase: [guess] end"),
+    ("pwd = \"aZ3!kQ9#x\"### end", "pwd = \"[guess]\"### end"),
+    ("pwd = 'aZ3!k\"Q9#x'### end", "pwd = '[guess]'### end"),
+    ("pwd = 'aZ3'!kQ9#xLongerStill end", "pwd = 'aZ3'!kQ9#xLongerStill end"),  # the value is three characters
+    ("passphrase: p\u00e4ssw\u00f6rt-Zq9#kX end", "passphrase: [guess] end"),
+    ("auth: \u4e2d\u6587\u5b57\u4e2d\u6587\u5b57\u4e2d\u6587 end", "auth: \u4e2d\u6587\u5b57\u4e2d\u6587\u5b57\u4e2d\u6587 end"),
+])
+def test_borders_of_contexts_and_values(text, redacted):
+    assert redact_text(text) == redacted
+
+
+PROSE = ["An international flight, (International) rules.", "the international boarding pass: international", None, "",
+         "passphrase: correcthorsebattery pass: correcthorsebattery x=correcthorsebattery"]
+
+
+def test_words_of_the_corpus_are_ranked(spark, none):
+    docs = spark.createDataFrame(list(enumerate(PROSE)), "doc_id int, text string").repartition(3)
+    ranks = ranked_words(docs)
+    counts = {"international": 3, "the": 1, "flight": 1, "rules": 1, "boarding": 1, "passphrase": 1}
+    assert list(ranks) == [*WORDS, *sorted(counts, key=lambda w: (-counts[w], w))]
+    assert list(ranks.values()) == list(range(1, len(ranks) + 1))
+    assert list(ranked_words(docs, most=1)) == [*WORDS, "international"]
+    assert ranked_words(none) == RANK
+    assert guess_cost("international") > 12 > 2 > guess_cost("international", ranks)
+    spans = {r.id: r.spans for r in scan(docs).collect()}
+    assert spans == {0: "", 1: "", 2: "", 3: "", 4: "guess:12:31,guess:38:57"}
+    kept = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert {i: kept[i] for i in range(4)} == dict(enumerate(PROSE[:4]))
+    assert kept[4] == "passphrase: [guess] pass: [guess] x=correcthorsebattery"
