@@ -15,6 +15,7 @@ import hashlib
 import math
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
@@ -43,6 +44,10 @@ WORDS = ("password", "admin", "welcome", "letmein", "login", "master", "dragon",
          "user", "root", "guest", "hello", "love", "pass", "change", "example", "default", "token", "null", "none", "true",
          "false", "your", "here", "value", "string", "abc", "summer", "winter", "spring", "autumn", "please", "name", "key")
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890")
+WORD = re.compile(rf"""["'(\[]{{0,2}}([A-Za-z\u00C0-\u024F]{{3,{LONGEST_WORD}}})[.,;!?"')\]]{{0,3}}""")
+AFTER_SIGN = re.compile(r"[:=]\s*\S+")
+# distinct pieces that a task counts before it hands them on
+MOST_COUNTED = 1 << 18
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 DATE_GUESSES = 5.0  # log10 of a century of days and their spellings
 RANK: Mapping[str, int] = {word: i + 1 for i, word in enumerate(WORDS)}
@@ -56,10 +61,27 @@ def ranked_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS
     A word here is a blank-separated piece that is nothing but 3 to LONGEST_WORD Latin letters and punctuation around
     them. What follows a colon or an equals sign is not counted, so that values of credentials do not become words.
     """
-    prose = F.regexp_replace(text_col, r"[:=][\x20\x09-\x0D]*[^\x20\x09-\x0D]+", " ")
-    pieces = docs.select(F.explode(F.split(prose, r"[\x20\x09-\x0D]+")).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
-    shape = rf"""^["'(\[]{{0,2}}([A-Za-z\u00C0-\u024F]{{3,{LONGEST_WORD}}})[.,;!?"')\]]{{0,3}}$"""
-    words = pieces.select(F.lower(F.regexp_extract("piece", shape, 1)).alias("word"), "n").where((F.col("word") != "") & ~F.col("word").isin(*WORDS))
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            words: Counter[str] = Counter()
+            for piece, n in pieces.items():
+                if (m := WORD.fullmatch(piece)) is not None:
+                    words[m[1].lower()] += n
+            pieces.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                pieces.update(AFTER_SIGN.sub(" ", text or "").split())
+                if len(pieces) >= MOST_COUNTED:
+                    yield counted()
+        yield counted()
+
+    words = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n bigint").where(~F.col("word").isin(*WORDS))
     top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()
     return {**RANK, **{r["word"]: len(RANK) + i + 1 for i, r in enumerate(top)}}
 
