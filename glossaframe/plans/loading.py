@@ -93,6 +93,39 @@ def corpus_grep_top(spark, sf_dir):
     return search.grep(read(spark, sf_dir, "pages"), "<h[1-6]", "page_id", "html", fixed.SEARCH_MATCHES)
 
 
+FILE_DOCS = 1000
+
+
+@query("corpus_grep_files", rf"""
+SELECT part, line_no, regexp_replace(line, '\s+$', '') AS line FROM (
+  SELECT part, line, row_number() OVER (PARTITION BY part ORDER BY doc_id, i) AS line_no
+  FROM (SELECT doc_id, doc_id // {FILE_DOCS} AS part, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i
+        FROM (SELECT doc_id, {lines_sql("(coalesce(text, '') || chr(10))")} AS l FROM documents))
+) WHERE regexp_matches(line, '{MAIL}')""")
+def corpus_grep_files(spark, sf_dir):
+    """Texts in files of FILE_DOCS documents, searched by line of a file."""
+    folder = new_path(spark, "text-files")
+    part = F.floor(F.col("doc_id") / FILE_DOCS).alias("part")
+    texts = read(spark, sf_dir, "documents").select(part, "doc_id", "text")
+    texts.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text").write.partitionBy("part").text(folder)
+    found = search.grep_files(spark, folder, MAIL)
+    return found.select(F.regexp_extract("file", r"part=(\d+)", 1).cast("bigint").alias("part"), "line_no", "line")
+
+
+@query("load_csv_dialects", """
+SELECT row_number() OVER (PARTITION BY sep ORDER BY c_custkey) AS _rid, c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, sep
+FROM customer, (VALUES (';'), ('|')) AS s(sep)""")
+def load_csv_dialects(spark, sf_dir):
+    """Files of two dialects, loaded without saying which."""
+    table = read(spark, sf_dir, "customer")
+    loaded = []
+    for sep in (";", "|"):
+        folder = new_path(spark, "customer-dialect")
+        table.orderBy("c_custkey").write.option("header", True).option("sep", sep).csv(folder)
+        loaded.append(readers.load(spark, folder, fmt=".csv", schema=table.schema, multiline=False).withColumn("sep", F.lit(sep)))
+    return loaded[0].unionByName(loaded[1])
+
+
 @query("subset_drilldown", """
 SELECT row_number() OVER (ORDER BY o_orderkey) AS _rid, o_orderkey, o_totalprice, o_orderstatus, o_orderpriority FROM orders
 QUALIFY o_totalprice > 50000 AND o_orderpriority IS NOT NULL AND o_orderstatus = 'F'""")

@@ -1,11 +1,13 @@
 """Loading, row keys, catalog, exports, search, subsets."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from glossaframe.operators import filters
 from glossaframe.scratch import shared_dir
-from glossaframe.sources import readers, row_ids, search, writers
+from glossaframe.sources import dialects, readers, row_ids, search, writers
 
 
 def plan_of(df) -> str:
@@ -160,6 +162,57 @@ def test_grep_rows_and_files(spark, tmp_path):
     assert [(r["id"], r["line_no"]) for r in search.grep(texts, "b", "id", "t").orderBy("line_no").collect()] == [(1, 1), (1, 2)]
 
 
+def test_grep_files_over_many_splits(spark, tmp_path):
+    """One file in many tasks, with lines of every kind of break: the numbers of the whole file."""
+    rng = random.Random(5)
+    for name in ("a.txt", "b.txt"):
+        parts = [rng.choice(["needle", "hay", "", "hay needle  ", "x" * 50]) + rng.choice(["\n", "\n", "\n", "\r\n", "\x0b", "\u2028", "\n\n"]) for _ in range(3000)]
+        (tmp_path / name).write_bytes(("".join(parts) + "the needle").encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = search.grep_files(spark, str(tmp_path), "needle").collect()
+        empty = search.grep_files(spark, str(tmp_path), "^$").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for rows, fits in ((found, lambda line: "needle" in line), (empty, lambda line: line == "")):
+        expected = [(name, n, line.rstrip()) for name in ("a.txt", "b.txt")
+                    for n, line in enumerate((tmp_path / name).read_bytes().decode().splitlines(), 1) if fits(line)]
+        assert sorted((r["file"].rsplit("/", 1)[1], r["line_no"], r["line"]) for r in rows) == expected
+    assert search.grep_files(spark, str(tmp_path), "no such line").count() == 0
+
+
+@pytest.mark.parametrize("text, dialect", [
+    ("a;b;c\n1;x,y;3\n2;z,z;4\n", (";", '"')),
+    ("a|b\n1|x;y\n2|\n", ("|", '"')),
+    ("a,b\n1,\"x;y\nz;w\"\n2,\"q\"\"r\"\n", (",", '"')),
+    ("a;b\n'x;y';2\n'it''s';3\n", (";", "'")),
+    ("a\tb\n1\t2\n\n", ("\t", '"')),
+    ("one\nsingle, column\n", (",", '"')),
+    ("", (",", '"')),
+])
+def test_dialects(spark, tmp_path, text, dialect):
+    path = tmp_path / "x.csv"
+    path.write_text(text)
+    assert tuple(dialects.detect(spark, str(path))) == dialect
+
+
+def test_files_load_without_a_delimiter_option(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("k;t\n1;'a;b'\n2;'it''s'\n")
+    assert [tuple(r) for r in readers.load(spark, str(path)).orderBy("_rid").collect()] == [(1, 1, "a;b"), (2, 2, "it's")]
+    path.write_text("k;t\n1;a;b;c\n2\n")
+    with pytest.raises(ValueError, match="sep"):
+        readers.load(spark, str(path))
+    # records beyond the sample are not looked at, and a record that the sample ends in does not count
+    many = ["k|t", *["1|a"] * (dialects.HEAD_LINES - 2), '1|"x', 'y"', "2|b"]
+    path.write_text("\n".join(many) + "\n")
+    assert readers.read_file(spark, str(path)).count() == dialects.HEAD_LINES
+    with pytest.raises(ValueError, match="agree|sep"):
+        dialects.detect_in(["a,b", "1"])
+    assert dialects.detect_in(["a,b", "1"], cut=True) == (",", '"')
+
+
 def test_lines_agree_with_python(spark):
     from glossaframe.functions.text import lines
 
