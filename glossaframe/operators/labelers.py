@@ -10,14 +10,17 @@ Spark ML transformers: their rows never leave the JVM. Python models get Arrow b
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -210,6 +213,40 @@ class HashingEncoder:
         return unit.withColumn(out, vector_to_array("__unit", "float32")).drop("__words", "__tf", "__unit")
 
 
+class WeightedEncoder:
+    """Unit-length word counts, each weighted by ln((rows + 1) / (rows with the word + 1)), over a fitted vocabulary.
+
+    The name, which is part of the content key, holds a hash of the fit: vectors of different fits are never mixed.
+    Rows without a word of the vocabulary, and rows of which each such word is in all rows, get zero vectors.
+    """
+
+    def __init__(self, frequencies: Sequence[tuple[str, int]], n_rows: int):
+        if not frequencies:
+            raise ValueError("no word to weight")
+        self.terms = [term for term, _ in frequencies]
+        self.weights = [math.log((n_rows + 1) / (n + 1)) for _, n in frequencies]
+        self.frequencies, self.n_rows, self.dim = list(frequencies), n_rows, len(self.terms)
+        fit = json.dumps([n_rows, [list(f) for f in frequencies]], ensure_ascii=False)
+        self.name = f"weighted-{self.dim}-{hashlib.sha256(fit.encode()).hexdigest()[:16]}"
+
+    @classmethod
+    def fit(cls, df: DataFrame, text: str, size: int = 4096, min_rows: int = 1) -> WeightedEncoder:
+        """The `size` words that are in most rows, at least `min_rows` (ties: by word), with their numbers of rows,
+        counted over all rows. Only these come to the driver."""
+        distinct = F.array_distinct(words(text_or_empty(F.col(text))))
+        counts = df.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        top = counts.where(F.col("n") >= min_rows).orderBy(F.desc("n"), "term").limit(size).collect()
+        return cls([(r["term"], r["n"]) for r in top], df.count())
+
+    def encode(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        counted = CountVectorizerModel.from_vocabulary(self.terms, inputCol="__words", outputCol="__tf").transform(
+            df.withColumn("__words", words(text_or_empty(F.col(text))))
+        )
+        weighted = ElementwiseProduct(scalingVec=Vectors.dense(self.weights), inputCol="__tf", outputCol="__weighted").transform(counted)
+        unit = Normalizer(inputCol="__weighted", outputCol="__unit", p=2.0).transform(weighted)
+        return unit.withColumn(out, vector_to_array("__unit", "float32")).drop("__words", "__tf", "__weighted", "__unit")
+
+
 class BatchEncoder:
     """A Python model from a batch of texts to a batch of vectors, loaded once per task."""
 

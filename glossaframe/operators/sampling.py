@@ -18,6 +18,8 @@ from .skew import spread, top_n_per_group
 
 # Candidates fetched per pass of the diverse sample.
 DIVERSE_CANDIDATES = 512
+# Numbers in a block of vectors of which a core-set is made.
+CORESET_FLOATS = 4_000_000
 
 
 def random_order(seed: int, id_column: str = RID) -> Column:
@@ -122,11 +124,70 @@ def _least_similar(rows: DataFrame, chosen: np.ndarray, ids: np.ndarray, dim: in
     return rows.mapInArrow(run, schema).orderBy("sim", "id").limit(DIVERSE_CANDIDATES).toArrow()
 
 
+def sample_diverse_coreset(df: DataFrame, n: int, vector: str, id_column: str = RID) -> DataFrame:
+    """`(id, pick)`: farthest-point picks from core-sets, in a number of passes that does not depend on `n`.
+
+    Each task goes over its vectors in blocks of bounded size and keeps the greedy picks of every block; these are
+    gathered and thinned in the same way until one block holds them, whose picks are the sample. In terms of the angle's
+    chord, each level adds at most twice the best possible radius for `n` picks, so with l levels every vector lies within
+    2 * l times that radius of a pick (`sample_diverse` gives 2). Which rows are picked depends on how the table is split.
+    A block holds at least 4 * n vectors. Null and zero vectors resemble nothing and count as one place; rows without
+    an id are left out.
+    """
+    if n <= 0:
+        raise ValueError("sample size must be positive")
+    spark = df.sparkSession
+    rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull())
+    head = rows.select(F.size("v").alias("d")).where("d > 0").first()
+    dim = head["d"] if head else 1
+    block = max(4 * n, CORESET_FLOATS // dim)
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            # a batch may be larger than what a block has left
+            for low in range(0, batch.num_rows, block):
+                part = batch.slice(low, block)
+                if size + part.num_rows > block:
+                    yield _farthest(held, n, dim)
+                    held, size = [], 0
+                held.append(part)
+                size += part.num_rows
+        if size:
+            yield _farthest(held, n, dim)
+
+    schema = f"id bigint, v {rows.schema['v'].dataType.simpleString()}, pick int"
+    core = stage(rows.mapInArrow(thinned, schema), "coreset")
+    while (size := core.count()) > block:
+        parts = -(-size // block)
+        core = stage(core.select("id", "v").repartition(parts).mapInArrow(thinned, schema), "coreset")
+    picked = core.select("id", "v").coalesce(1).mapInArrow(thinned, schema)
+    return stage(picked.select(F.col("id").alias(id_column), "pick"), "coreset-picks")
+
+
+def _farthest(batches: list[pa.RecordBatch], n: int, dim: int) -> pa.RecordBatch:
+    """The first `n` greedy picks of these `(id, v)` rows, from the lowest id, with their number from 1."""
+    table = pa.Table.from_batches([b.select(["id", "v"]) for b in batches]).sort_by("id").combine_chunks()
+    unit = unit_rows(column_matrix(table.column("v"), dim))
+    similarity = np.full(len(unit), -np.inf)
+    free = np.ones(len(unit), dtype=bool)
+    picks = []
+    while len(picks) < min(n, len(unit)):
+        at = int(np.argmin(np.where(free, similarity, np.inf)))  # ties: the lowest id
+        picks.append(at)
+        free[at] = False
+        similarity = np.maximum(similarity, np.round(unit @ unit[at], 12))
+    kept = table.take(pa.array(picks, pa.int64())).combine_chunks()
+    numbers = pa.array(range(1, len(picks) + 1), pa.int32())
+    return pa.RecordBatch.from_arrays([kept.column(0).chunk(0), kept.column(1).chunk(0), numbers], ["id", "v", "pick"])
+
+
 def sample_rows(df: DataFrame, sample_size: int, where: str | None = None, method: str = "random",
                 stratify_by: str | None = None, text_column: str | None = None, encoder=None,
                 vector_column: str | None = None, seed: int = 0, stratified_mode: str = "quota") -> DataFrame:
-    """A sample of whole rows. `diverse` reads a vector column, or encodes a text column."""
-    check_choice("method", method, ["random", "stratified", "diverse"])
+    """A sample of whole rows. `diverse` reads a vector column, or encodes a text column; `diverse_coreset` does so in
+    few passes, for large samples of large tables."""
+    check_choice("method", method, ["random", "stratified", "diverse", "diverse_coreset"])
     scope = df.where(F.expr(where)) if where else df
     if method == "random":
         return sample_random(scope, sample_size, seed)
@@ -134,6 +195,7 @@ def sample_rows(df: DataFrame, sample_size: int, where: str | None = None, metho
         if not stratify_by:
             raise ValueError("stratify_by is required when method='stratified'")
         return sample_stratified(scope, stratify_by, sample_size, stratified_mode, seed)
+    pick = sample_diverse if method == "diverse" else sample_diverse_coreset
     if vector_column is None:
         if not text_column or encoder is None:
             raise ValueError("method='diverse' needs a vector column, or a text column and an encoder")
@@ -141,5 +203,5 @@ def sample_rows(df: DataFrame, sample_size: int, where: str | None = None, metho
         texts = spread(scope.select(RID, text_column))
         # written, because every pass of the greedy choice reads the vectors again
         vectors = stage(encoder.encode(texts, text_column, "__vector").select(RID, "__vector"), "vectors")
-        return pick_rows(scope, sample_diverse(vectors, sample_size, "__vector"))
-    return pick_rows(scope, sample_diverse(scope, sample_size, vector_column))
+        return pick_rows(scope, pick(vectors, sample_size, "__vector"))
+    return pick_rows(scope, pick(scope, sample_size, vector_column))

@@ -216,6 +216,41 @@ def embed_hash(spark, sf_dir):
     return found.df.select("doc_id", F.size("vector").alias("dim"), F.round(norm(F.col("vector")), 4).alias("length"))
 
 
+WEIGHTED_WORDS = 256
+WEIGHTS_SQL = rf"""
+t AS (SELECT doc_id, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: length(w) > 0)) AS term FROM documents),
+f AS (SELECT term, count(DISTINCT doc_id) AS n FROM t GROUP BY term ORDER BY n DESC, term LIMIT {WEIGHTED_WORDS}),
+w AS (SELECT term, n, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (n + 1.0::DOUBLE)) AS weight FROM f)"""
+
+
+@query("word_weights", f"WITH {WEIGHTS_SQL} SELECT term, n AS n_rows, round(weight, 9) AS weight FROM w")
+def word_weights(spark, sf_dir):
+    fitted = labelers.WeightedEncoder.fit(documents(spark, sf_dir), "text", WEIGHTED_WORDS)
+    rows = [(term, n, round(weight, 9)) for (term, n), weight in zip(fitted.frequencies, fitted.weights)]
+    return spark.createDataFrame(rows, "term string, n_rows bigint, weight double")
+
+
+@query("embed_weighted", f"""
+WITH {WEIGHTS_SQL},
+x AS (SELECT doc_id, term, count(*) * any_value(weight) AS x FROM t JOIN w USING (term) GROUP BY doc_id, term),
+u AS (SELECT doc_id, term, (x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE AS x FROM x WHERE x <> 0),
+l AS (SELECT doc_id, sqrt(sum(x * x)) AS length, count(*) AS n_terms FROM u GROUP BY doc_id),
+d AS (SELECT a.doc_id, sum(a.x * b.x) AS dot FROM u a JOIN u b ON b.doc_id = a.doc_id + 1 AND b.term = a.term GROUP BY a.doc_id)
+SELECT a.doc_id, coalesce(la.n_terms, 0) AS n_terms, round(coalesce(dot / (la.length * lb.length), 0.0), 6) AS next_similarity
+FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 LEFT JOIN l la ON la.doc_id = a.doc_id LEFT JOIN l lb ON lb.doc_id = b.doc_id
+LEFT JOIN d ON d.doc_id = a.doc_id""")
+def embed_weighted(spark, sf_dir):
+    """Each text with the one after it, by weighted words."""
+    from ..functions.vectors import cosine_similarity
+
+    rows = documents(spark, sf_dir)
+    found = enrich.embed_column(rows, "text", "vector", labelers.WeightedEncoder.fit(rows, "text", WEIGHTED_WORDS)).df.select("doc_id", "vector")
+    following = found.select((F.col("doc_id") - 1).alias("doc_id"), F.col("vector").alias("next"))
+    n_terms = F.size(F.filter("vector", lambda x: x != 0)).cast("bigint")
+    return found.join(following, "doc_id").select(
+        "doc_id", n_terms.alias("n_terms"), F.round(cosine_similarity(F.col("vector"), F.col("next")), 6).alias("next_similarity"))
+
+
 # ---- taxonomies -----------------------------------------------------------------------------------------
 
 FLAT_GOAL = "complaint_angles"

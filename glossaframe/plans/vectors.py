@@ -81,6 +81,11 @@ def sample_diverse(spark, sf_dir):
     return sampling.sample_diverse(readers.load(spark, path_of(sf_dir, "embeddings")), 8, "embedding")
 
 
+@query("sample_diverse_coreset")
+def sample_diverse_coreset(spark, sf_dir):
+    return sampling.sample_diverse_coreset(read(spark, sf_dir, "embeddings"), 200, "embedding", "vec_id")
+
+
 @query("sample_diverse_table", """SELECT count(*) AS n_rows, count(DISTINCT _rid) AS n_ids FROM (SELECT unnest(range(25)) AS _rid)""")
 def sample_diverse_table(spark, sf_dir):
     """A diverse sample of texts, encoded on the way, saved as a table with all columns."""

@@ -161,3 +161,39 @@ def test_enrichment_of_a_hot_content(spark, tmp_path):
         F.get_json_object(p, "$.t").alias("value")))), cache=JudgementCache(spark, str(tmp_path / "c")), table="t")
     assert found.df.count() == 600 and found.df.where("v = t").count() == 600
     assert found.counters().first()["calls"] == 401
+
+
+def coverage(every, ids, picked):
+    """The largest chord from a vector to its nearest pick."""
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    chosen = unit[[ids.index(i) for i in picked]]
+    return float(np.sqrt(np.maximum(0, 2 - 2 * (unit @ chosen.T).max(axis=1))).max())
+
+
+@pytest.mark.parametrize("block, partitions", [(4_000_000, 5), (64, 5), (1, 1)])
+def test_coresets_cover_as_exact_picks_do(spark, monkeypatch, block, partitions):
+    """Blocks of any size: n picks whose radius is at most twice that of exact greedy picks."""
+    monkeypatch.setattr(sampling, "CORESET_FLOATS", block)
+    rng = np.random.default_rng(11)
+    every = rng.normal(size=(40, 8))[rng.integers(0, 40, 1200)] + rng.normal(size=(1200, 8)) * 0.3
+    ids = list(range(5, 1205))
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, every)], "_rid bigint, v array<double>").repartition(partitions)
+    for n in (1, 12):
+        found = {r["pick"]: r["_rid"] for r in sampling.sample_diverse_coreset(table, n, "v").collect()}
+        assert sorted(found) == list(range(1, n + 1)) and len({*found.values()}) == n
+        exact = [r["_rid"] for r in sampling.sample_diverse(table, n, "v").collect()]
+        assert coverage(every, ids, found.values()) <= 2 * coverage(every, ids, exact)
+
+
+def test_coresets_of_one_block_are_exact_and_odd_rows(spark):
+    _, table = vectors(spark)
+    one = table.coalesce(1)
+    rows = sampling.sample_diverse_coreset(one, 9, "v").collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, sampling.sample_diverse(one, 9, "v").collect()))
+    odd = spark.createDataFrame([(1, None), (1, [1.0, 0.0]), (None, [0.0, 1.0]), (2, [0.0, 0.0]), (3, [0.0, 2.0])], "_rid bigint, v array<float>")
+    assert {r["_rid"] for r in sampling.sample_diverse_coreset(odd, 10, "v").collect()} == {1, 2, 3}
+    assert sampling.sample_diverse_coreset(odd.where("false"), 3, "v").count() == 0
+    with pytest.raises(ValueError):
+        sampling.sample_diverse_coreset(odd, 0, "v")
+    texts = odd.select("_rid", F.col("_rid").cast("string").alias("t")).where("_rid > 1")
+    assert sampling.sample_rows(texts, 2, method="diverse_coreset", text_column="t", encoder=labelers.HashingEncoder(16)).count() == 2
