@@ -22,6 +22,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import stage
+from .files import discard
+
 KINDS = ("assign", "access", "hex", "guess")
 # letters of the assign kind match in either case, in ASCII only
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -46,6 +49,8 @@ WORDS = ("password", "admin", "welcome", "letmein", "login", "master", "dragon",
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890")
 WORD = re.compile(rf"""["'(\[]{{0,2}}([A-Za-z\u00C0-\u024F]{{3,{LONGEST_WORD}}})[.,;!?"')\]]{{0,3}}""")
 AFTER_SIGN = re.compile(r"[:=]\s*\S+")
+# parts of a doubling at which word counts are cut; counts below 2 * STEPS / 3 have a step each
+STEPS = 64
 # distinct pieces that a task counts before it hands them on
 MOST_COUNTED = 1 << 18
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
@@ -56,8 +61,10 @@ LEET = str.maketrans("@430157$!", "aaeoistsi")
 
 
 def ranked_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS) -> dict[str, int]:
-    """Ranks from 1: WORDS, then the `most` most frequent words of all texts (ties: in code-point order).
+    """Ranks from 1: WORDS, then the most frequent words of all texts, `most` at the most (ties: in code-point order).
 
+    Counts are cut at steps of 1 / STEPS of a doubling, and a step is taken whole or not at all, so that the driver gets
+    these steps' sizes and the words that are ranked, whatever the number of words.
     A word here is a blank-separated piece that is nothing but 3 to LONGEST_WORD Latin letters and punctuation around
     them. What follows a colon or an equals sign is not counted, so that values of credentials do not become words.
     """
@@ -82,8 +89,17 @@ def ranked_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS
         yield counted()
 
     words = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n bigint").where(~F.col("word").isin(*WORDS))
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()
-    return {**RANK, **{r["word"]: len(RANK) + i + 1 for i, r in enumerate(top)}}
+    counts = words.groupBy("word").agg(F.sum("n").alias("n"))
+    counts = stage(counts.withColumn("step", F.floor(F.log2("n") * STEPS).cast("int")), "word-counts")
+    chosen, held = None, 0
+    for r in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        held += r["count"]
+        if held > most:
+            break
+        chosen = r["step"]
+    top = [] if chosen is None else sorted((-r["n"], r["word"]) for r in counts.where(F.col("step") >= chosen).collect())
+    discard(counts)
+    return {**RANK, **{word: len(RANK) + i + 1 for i, (_, word) in enumerate(top)}}
 
 
 def _class_size(value: str) -> int:

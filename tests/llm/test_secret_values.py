@@ -58,6 +58,8 @@ def test_words_of_the_corpus_are_ranked(spark, none):
     assert list(ranks) == [*WORDS, *sorted(counts, key=lambda w: (-counts[w], w))]
     assert list(ranks.values()) == list(range(1, len(ranks) + 1))
     assert list(ranked_words(docs, most=1)) == [*WORDS, "international"]
+    assert list(ranked_words(docs, most=5)) == [*WORDS, "international"]  # the five others are as frequent as each other
+    assert ranked_words(docs, most=0) == RANK
     assert ranked_words(none) == RANK
     assert guess_cost("international") > 12 > 2 > guess_cost("international", ranks)
     spans = {r.id: r.spans for r in scan(docs).collect()}
