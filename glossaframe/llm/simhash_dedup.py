@@ -15,7 +15,7 @@ of them within two bits of each other, and they are linked to the smallest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -59,11 +59,18 @@ def simhash(text: str | None, width: int = WIDTH) -> int:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths + 1) - 1
         spans = list(zip((ends - lengths)[: len(words) - width + 1].tolist(), ends[width - 1:].tolist()))
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    for low in range(0, len(spans), COUNTED_AT_ONCE):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans[low: low + COUNTED_AT_ONCE]], "<u8")
+    digest = xxhash.xxh64_intdigest
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in spans[low: low + COUNTED_AT_ONCE]], "<u8")
+                    for low in range(0, len(spans), COUNTED_AT_ONCE))
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of the hashes (little-endian uint64) have set, as a signed 64-bit integer."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in parts:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(spans), bitorder="little").view("<i8")[0])
+        n += len(hashes)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
