@@ -19,6 +19,8 @@ BLOCK_FLOATS = 4_000_000
 PAIRS_AT_ONCE = 4_000_000
 # Similarities are rounded before they are ranked, so that equal rows are ordered by id.
 ROUND_SIMILARITY = 9
+# More than rounding can move a similarity.
+ROUNDED_AWAY = 1e-8
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -120,27 +122,64 @@ def _keep_best(best, query_ids, ids, sims, k):
     return queries[keep], rows[keep], values[keep]
 
 
+def _bars(best, query_ids, k):
+    """For each query the similarity below which, unrounded, a row cannot be among its `k` any more."""
+    queries, _, values = best
+    last = np.flatnonzero(np.arange(len(queries)) - np.searchsorted(queries, queries, side="left") == k - 1)
+    bars = np.full(len(query_ids), -np.inf)
+    if len(last):
+        at = np.minimum(np.searchsorted(queries[last], query_ids), len(last) - 1)
+        full = queries[last][at] == query_ids
+        bars[full] = values[last][at[full]] - ROUNDED_AWAY
+    return bars
+
+
+def _merged(best, pending, k):
+    """The running columns with unrounded candidates of their form, `k` per query."""
+    queries, rows, values = (np.concatenate(c) for c in zip(best, *pending))
+    values = np.round(values, ROUND_SIMILARITY)
+    order = np.lexsort((rows, -values, queries))
+    queries, rows, values = queries[order], rows[order], values[order]
+    keep = np.arange(len(queries)) - np.searchsorted(queries, queries, side="left") < k
+    return queries[keep], rows[keep], values[keep]
+
+
 def nearest_neighbours(corpus: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id",
                        vector: str = "embedding", query_id: str = "query_id", skip_same_id: bool = True) -> DataFrame:
     """Exact `(query_id, id, similarity, rank)` for the `k` most similar rows to each query.
 
-    Each task keeps `k` candidates per query, so what is shuffled does not grow with the number of pairs. More queries than fit into one block take one pass over the corpus per block.
+    Each task keeps `k` candidates per query, so what is shuffled does not grow with the number of pairs. Once a query has `k`, only
+    the few rows that reach the similarity of its last one are looked at further. More queries than fit into one block take one pass over the corpus per block.
     """
     passes = []
     schema = f"{query_id} bigint, {id_column} bigint, similarity double"
     for indexes, block in _blocks(queries.select(F.col(id_column).alias(query_id), vector), query_id, vector):
 
         def run(batches, indexes=indexes, block=block):
-            best = (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))
+            best, bars = (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)), None
+            pending, n_pending = [], 0
             for batch in batches:
                 all_ids = np.asarray(batch.column(0), dtype="int64")
                 rows = unit_rows(column_matrix(batch.column(1), block.shape[1]))
                 for part in _slices(len(rows), len(block)):
                     ids = all_ids[part]
-                    sims = np.round(block @ rows[part].T, ROUND_SIMILARITY)
-                    if skip_same_id:
-                        sims[indexes[:, None] == ids[None, :]] = -np.inf
-                    best = _keep_best(best, indexes, ids, sims, k)
+                    sims = block @ rows[part].T
+                    if bars is None:
+                        sims = np.round(sims, ROUND_SIMILARITY)
+                        if skip_same_id:
+                            sims[indexes[:, None] == ids[None, :]] = -np.inf
+                        best = _keep_best(best, indexes, ids, sims, k)
+                        bars = _bars(best, indexes, k)
+                        continue
+                    at_query, at_row = np.divmod(np.flatnonzero(sims >= bars[:, None]), len(ids))
+                    found = indexes[at_query], ids[at_row], sims[at_query, at_row]
+                    fits = np.isfinite(found[2]) & ~(skip_same_id & (found[0] == found[1]))
+                    pending.append(tuple(c[fits] for c in found))
+                    n_pending += len(pending[-1][0])
+                    if n_pending > len(block):
+                        best, pending, n_pending = _merged(best, pending, k), [], 0
+                        bars = _bars(best, indexes, k)
+            best = _merged(best, pending, k)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=[query_id, id_column, "similarity"])
 
         passes.append(corpus.select(F.col(id_column).cast("bigint"), vector).mapInArrow(run, schema))
