@@ -13,8 +13,8 @@ from . import fixed
 
 # letters and digits of any script; everything else separates words
 NON_WORD = r"[^\p{L}\p{N}]+"
-EDGE_PUNCTUATION = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
-# the same for all words of a text at once: punctuation next to white space or an end of the text
+WORD_CHARACTER = r"[\p{L}\p{N}]"
+# punctuation around all words of a text at once: next to white space or an end of the text
 EDGE_PUNCTUATION_IN_TEXT = r"(?<=^|\s)[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?=\s|\z)"
 
 
@@ -48,13 +48,9 @@ def norm_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.regexp_replace(text, EDGE_PUNCTUATION_IN_TEXT, "")), r"\s+"), "")
 
 
-def surface_words(text: Column) -> Column:
-    """`(surface, norm)` for each word: as written, and as `norm_words` has it."""
-    pairs = F.transform(
-        F.split(text, r"\s+"),
-        lambda w: F.struct(w.alias("surface"), F.lower(F.regexp_replace(w, EDGE_PUNCTUATION, "")).alias("norm")),
-    )
-    return F.filter(pairs, lambda p: F.length(p["norm"]) > 0)
+def surface_forms(text: Column) -> Column:
+    """The words of `norm_words` as they are written: what stands between white space and has a letter or a digit."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w.rlike(WORD_CHARACTER))
 
 
 def with_ngrams(df: DataFrame, tokens: str, out: str, low: int, high: int) -> DataFrame:

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, keys
-from ..functions.text import explode_values, norm_words, polarity_of, surface_words, text_or_empty, with_ngrams
+from ..functions.text import explode_values, norm_words, polarity_of, surface_forms, text_or_empty, with_ngrams
 from ..scratch import stage
 from ..sources.row_ids import RID
 from .enrich import check_choice, check_columns
 from .filters import drill_down
-from .runs import frequent_runs
+from .runs import frequent_runs, row_counts, top_runs
 from .sampling import sample_rows
 from .skew import fan_out, spread, top_n_per_group
 
@@ -44,6 +43,22 @@ def phrase_support(df: DataFrame, text_column: str, low: int, high: int, min_row
     return counted.where(F.col("support") >= min_rows)
 
 
+def _runs_around(tokens: DataFrame, words: Sequence[str], low: int, high: int, min_rows: int) -> DataFrame:
+    """`(phrase, support)` of the runs of `low`..`high` words that hold one of a short list of words. `tokens` has a written
+    column `words`."""
+    listed = list(words)
+    stands = F.filter(F.transform("words", lambda w, i: F.when(w.isin(listed), i)), lambda i: i.isNotNull())
+
+    def of(n: int) -> Column:
+        first = F.flatten(F.transform("stands", lambda i: F.sequence(F.greatest(i - n + 1, F.lit(0)), F.least(i, F.size("words") - n))))
+        return F.when(F.size("words") >= n, F.transform(F.array_distinct(first), lambda i: F.concat_ws(" ", F.slice("words", i + 1, n)))).otherwise(
+            F.array().cast("array<string>"))
+
+    holding = tokens.select(RID, "words", stands.alias("stands"))
+    grams = explode_values(holding, [], F.array_distinct(F.concat(*[of(n) for n in range(low, high + 1)])), "phrase")
+    return grams.groupBy("phrase").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_rows)
+
+
 def _first_rows(hits: DataFrame) -> DataFrame:
     """`(phrase, example_rids)` from distinct `(phrase, _rid)`."""
     first = top_n_per_group(hits, ["phrase"], [F.col(RID)], fixed.EXAMPLE_ROWS, F.col(RID))
@@ -56,24 +71,8 @@ def examples_of(df: DataFrame, text_column: str, phrases: Sequence[str], low: in
     return _first_rows(explode_values(_with_grams(df, text_column, low, high), [RID], F.array_intersect("__grams", wanted), "phrase"))
 
 
-def occurrences_of(df: DataFrame, text_column: str, phrases: Sequence[str]) -> DataFrame:
-    """`(_rid, phrase, variant)`: each place where one of a short list of phrases stands, and how it is written."""
-    runs = df.select(RID, surface_words(text_or_empty(F.col(f"`{text_column}`"))).alias("p")).select(
-        RID, F.col("p")["norm"].alias("__norm"), F.col("p")["surface"].alias("__surface")
-    )
-    sizes = sorted({len(p.split(" ")) for p in phrases})
-    for n in sizes:
-        runs = NGram(n=n, inputCol="__norm", outputCol=f"__norm{n}").transform(runs)
-        runs = NGram(n=n, inputCol="__surface", outputCol=f"__surface{n}").transform(runs)
-    aligned = F.arrays_zip(
-        F.concat(*[f"__norm{n}" for n in sizes]).alias("phrase"), F.concat(*[f"__surface{n}" for n in sizes]).alias("variant")
-    )
-    places = explode_values(runs, [RID], aligned, "s").select(RID, F.col("s")["phrase"].alias("phrase"), F.col("s")["variant"].alias("variant"))
-    return places.where(F.col("phrase").isin(list(phrases)))
-
-
 def variant_counts(occurrences: DataFrame) -> DataFrame:
-    """`(phrase, variant, n)`: every way in which each phrase is written, and how often."""
+    """`(phrase, variant, n)`: every way in which each phrase of `(_rid, phrase, variant)` is written, and how often."""
     return occurrences.groupBy("phrase", "variant").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -117,16 +116,17 @@ def mine_taxonomy(df: DataFrame, text_column: str, where: str | None = None, max
     scope = _dealt(scope.select(RID, text_column))
     most = int(rows * max_share)
     high = 1 if taxonomy_shape == "flat" else 3
-    supports = phrase_support(scope, text_column, 1, high, min_support, prune=high > 1)
-    supports = stage(supports.withColumn("words", F.size(F.split("phrase", " "))), "phrase-support")
-    terms = supports.where(
-        (F.col("words") == 1) & (F.col("support") <= most) & (F.length("phrase") >= min_chars)
+    tokens = stage(scope.select(RID, norm_words(text_or_empty(F.col(f"`{text_column}`"))).alias("words")), "tokens")
+    terms = row_counts(tokens, min_support).where(
+        (F.col("support") <= most) & (F.length("phrase") >= min_chars)
     ).orderBy(F.desc("support"), "phrase")
     if taxonomy_shape == "flat":
         chosen = terms.limit(max_categories).select(F.lit(None).cast("string").alias("parent"), F.col("phrase").alias("label"), "support")
     else:
-        parents = terms.limit(max_parent_categories).select(F.col("phrase").alias("word"), F.col("support").alias("parent_support"))
-        runs = supports.where((F.col("words") > 1) & (F.col("support") <= most)).select(
+        parents = stage(terms.limit(max_parent_categories).select(F.col("phrase").alias("word"), F.col("support").alias("parent_support")), "parents")
+        # other runs are nobody's children
+        around = _runs_around(tokens, [r["word"] for r in parents.collect()], 2, high, min_support)
+        runs = around.where(F.col("support") <= most).select(
             "phrase", "support", F.explode(F.array_distinct(F.split("phrase", " "))).alias("word")
         )
         # the parents are as few as max_parent_categories says
@@ -163,31 +163,23 @@ def _top_phrases(scope: DataFrame, text_column: str, max_phrases: int, low: int,
     rows, dealt = _scope_size(scope), _dealt(scope)
     if closed and not prune:
         raise ValueError("closed phrases are mined level by level: closed needs prune")
-    if prune:
-        runs = frequent_runs(dealt, text_column, low, high, min_support)
-        supports = runs.supports(low, closed)
-    else:
-        size = F.size(F.split("phrase", " "))
-        supports = phrase_support(dealt, text_column, low, high, min_support).withColumn("words", size).withColumn("h", F.lit(0).cast("bigint"))
-    top = stage(supports.where(F.col("support") <= max(1, int(rows * max_share)))
-                .orderBy(F.desc("support"), F.desc("words"), "phrase").limit(max_phrases), "phrases")
+    runs, supports = top_runs(dealt, text_column, low, high, min_support, max(1, int(rows * max_share)), max_phrases, closed, prune)
+    top = stage(supports.orderBy(F.desc("support"), F.desc("words"), "phrase").limit(max_phrases), "phrases")
     chosen = top.collect()  # at most max_phrases
     if not chosen:
         places = dealt.select(RID, F.lit("").alias("phrase"), F.lit("").alias("variant")).limit(0)
-    elif prune:
+    else:
         hashes: dict[int, list[int]] = {}
         for r in chosen:
             hashes.setdefault(r["words"], []).append(r["h"])
         # only rows that hold a chosen phrase are cut once more, for the way it is written
         at = runs.places_of(hashes).groupBy(RID).agg(F.collect_list(F.struct("pos", "h")).alias("at"))
         named = F.create_map(*[F.lit(x) for r in chosen for x in (r["h"], r["phrase"])])
-        surface = F.transform(surface_words(text_or_empty(F.col(f"`{text_column}`"))), lambda p: p["surface"])
+        surface = surface_forms(text_or_empty(F.col(f"`{text_column}`")))
         cut = stage(scope.join(at, RID).select(RID, surface.alias("words"), "at"), "phrase-rows")
         written = F.transform("at", lambda p: F.struct(named[p["h"]].alias("phrase"), F.concat_ws(" ", F.slice(
             "words", p["pos"] + 1, F.size(F.split(named[p["h"]], " ")))).alias("variant")))
         places = explode_values(cut, [RID], written, "p").select(RID, "p.phrase", "p.variant")
-    else:
-        places = occurrences_of(dealt, text_column, [r["phrase"] for r in chosen])
     return top.select("phrase", "support"), places
 
 

@@ -4,6 +4,9 @@ A run of n words can only be in `min_rows` rows if both its runs of n - 1 words
 where two frequent runs overlap, and nothing else is listed, hashed or shuffled. A row keeps the places of its frequent
 runs as one array `(pos, h)`, with a 64-bit hash of the run; the runs themselves are spelled out once per
 distinct frequent run, from those of the level below.
+
+The most frequent runs need no listing of all that reach `min_rows`: `top_runs` raises that bar until few words reach it.
+Few frequent runs are looked for inside each row, so that places are not shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +22,10 @@ from ..scratch import stage
 from ..sources.row_ids import RID
 
 
+# up to this many frequent runs of a level travel as a list of their hashes
+LISTED = 4096
+
+
 @dataclass
 class FrequentRuns:
     """For each length: `levels[n]` has `(h, phrase, support, left, right)`, a row for each frequent run, with the hashes of
@@ -31,7 +38,7 @@ class FrequentRuns:
     def supports(self, low: int, closed: bool = False) -> DataFrame:
         """`(phrase, support, words, h)` of the runs of `low` words or more; with `closed`, without those that are part of a
         run one word longer (among those mined) with the same support."""
-        parts = []
+        parts = [self.levels[min(self.levels)].select("phrase", "support", F.lit(0).alias("words"), "h").limit(0)]
         for n, level in sorted(self.levels.items()):
             if n >= low:
                 if closed and n + 1 in self.levels:
@@ -71,7 +78,12 @@ def _distinct(at: Column) -> Column:
 
 
 def _kept(candidates: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The places of frequent runs, gathered by row. Only these are shuffled, and a row has no more of them than words."""
+    """The places of frequent runs, by row. A few runs are picked out inside the rows; otherwise places are shuffled, of which a
+    row has no more than words."""
+    few = frequent.select("h").limit(LISTED + 1).collect()
+    if len(few) <= LISTED:
+        listed = [r["h"] for r in few]
+        return candidates.select(RID, F.transform(F.filter("at", lambda p: p["h"].isin(listed)), lambda p: F.struct(p["pos"].alias("pos"), p["h"].alias("h"))).alias("at"))
     places = explode_values(candidates, [RID], F.transform("at", lambda p: F.struct(p["pos"].alias("pos"), p["h"].alias("h"))), "p").select(RID, "p.pos", "p.h")
     kept = places.join(frequent.select("h"), "h", "left_semi")
     return kept.groupBy(RID).agg(F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("at"))
@@ -87,12 +99,23 @@ def frequent_runs(df: DataFrame, text_column: str, low: int, high: int, min_rows
         spelled = F.when(F.size("words") >= shortest, F.transform(starts, lambda i: F.concat_ws(" ", F.slice("words", i, F.lit(shortest)))))
         runs = runs.select(RID, F.coalesce(spelled, F.array().cast("array<string>")).alias("words"))
     runs = stage(runs, "runs")
+    counted = row_counts(runs, min_rows)
+    return _mined(runs, counted, shortest, high, min_rows)
+
+
+def row_counts(runs: DataFrame, min_rows: int) -> DataFrame:
+    """`(phrase, support)` of the elements of `words` that are in `min_rows` rows or more."""
     one = explode_values(runs, [], F.array_distinct("words"), "phrase")
-    counted = one.groupBy("phrase").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_rows)
+    return one.groupBy("phrase").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_rows)
+
+
+def _mined(runs: DataFrame, counted: DataFrame, shortest: int, high: int, min_rows: int, prune: bool = True) -> FrequentRuns:
+    """Level by level from the counted elements of `words`, each a run of `shortest` words. Without `prune` a level looks at all
+    runs of frequent elements, and not only where both runs of the level below are frequent; the levels are the same."""
     none = F.lit(None).cast("bigint")
     levels = {shortest: stage(counted.select(F.xxhash64("phrase").alias("h"), "phrase", "support", none.alias("left"), none.alias("right")), "frequent-runs")}
     first = runs.select(RID, F.transform("words", lambda w, i: F.struct(i.alias("pos"), F.xxhash64(w).alias("h"))).alias("at"))
-    places = {shortest: stage(_kept(first, levels[shortest]), "run-places")}
+    places = {shortest: stage(_kept(first, levels[shortest]), "run-places").where(F.size("at") > 0)}
     for n in range(shortest + 1, high + 1):
         below = levels[n - 1]
         candidates = places[n - 1].select(RID, _overlapping(F.col("at")).alias("at"))
@@ -104,5 +127,27 @@ def frequent_runs(df: DataFrame, text_column: str, low: int, high: int, min_rows
         levels[n] = stage(spelled, "frequent-runs")
         if levels[n].isEmpty():
             break
-        places[n] = stage(_kept(candidates, levels[n]), "run-places")
+        every = candidates.select(RID, F.transform("at", lambda p: F.struct(p["pos"].alias("pos"), p["h"].alias("h"))).alias("at"))
+        places[n] = stage(_kept(candidates, levels[n]) if prune else every, "run-places").where(F.size("at") > 0)
     return FrequentRuns({n: level for n, level in levels.items() if n == shortest or n in places}, places)
+
+
+def top_runs(df: DataFrame, text_column: str, low: int, high: int, min_rows: int, most_rows: int, k: int, closed: bool = False,
+             prune: bool = True) -> tuple[FrequentRuns, DataFrame]:
+    """Runs among which are the `k` most frequent ones of `low`..`high` words that occur in `min_rows`..`most_rows` rows, all
+    there are if they are fewer; and their `supports`, written.
+
+    No run is in more rows than its rarest word. So all runs of at least some support are made of words of at least this support, and if there are
+    `k` of them, the top `k` are among them. The bar starts at the support of the k-th word and is lowered until there are; each
+    try is complete for its bar, also as to longer runs of the same support.
+    """
+    runs = stage(df.select(RID, norm_words(text_or_empty(F.col(f"`{text_column}`"))).alias("words")), "runs")
+    words = stage(row_counts(runs, min_rows), "word-rows")
+    head = words.where(F.col("support") <= most_rows).orderBy(F.desc("support")).limit(k).agg(F.min("support")).first()[0]
+    bar = max(min_rows, head or 0)
+    while True:
+        found = _mined(runs, words.where(F.col("support") >= bar), 1, high, bar, prune)
+        supports = stage(found.supports(low, closed).where(F.col("support") <= most_rows), "top-runs")
+        if bar == min_rows or supports.limit(k).count() == k:
+            return found, supports
+        bar = max(min_rows, bar // 3)

@@ -171,3 +171,59 @@ def test_topics_of_two_clear_groups(spark):
 def test_topic_names_without_labeler_are_the_keywords(spark):
     made = spark.createDataFrame([(0, "a、b" * 20, ["x"])], "topic_id int, keywords string, examples array<string>")
     assert topics.name_topics(made).first()["label"] == "a、b" * 20
+
+
+def test_the_bar_of_top_runs_loses_none(spark):
+    """The top of all runs, with ties, an upper limit and closed runs, from words that reach a bar far above `min_rows`."""
+    from glossaframe.operators import runs as word_runs
+
+    rng = random.Random(5)
+    weights = [60 / (i + 1) for i in range(60)]
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(60)], weights=weights, k=rng.randint(0, 30))) for _ in range(200)] + ["", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_rid bigint, content string").repartition(3)
+    support = {p: n for p, n in brute_support(texts, 2, 4).items() if 2 <= n <= 90}
+
+    def first(some, k):
+        return sorted(((p, n) for p, n in some.items()), key=lambda x: (-x[1], -len(x[0].split()), x[0]))[:k]
+
+    for k in (1, 12, 100_000):
+        for prune in (False, True):
+            _, found = word_runs.top_runs(rows, "content", 2, 4, 2, 90, k, prune=prune)
+            assert first({r.phrase: r.support for r in found.collect()}, k) == first(support, k)
+    mined, _ = word_runs.top_runs(rows, "content", 2, 4, 2, 90, 12)
+    # rare words were not looked at
+    assert mined.levels[1].count() < 60 and mined.levels[1].agg(F.min("support")).first()[0] > 10
+    top = mining.mine_phrases(rows, "content", high=4, max_phrases=12, max_share=0.45, prune=False).collect()
+    assert {(r.label, r.support) for r in top} == set(first({p: n for p, n in support.items() if n <= int(len(texts) * 0.45)}, 12))
+
+
+def test_places_are_picked_out_inside_the_rows(spark, monkeypatch):
+    """Few frequent runs need no shuffle of the places; many of them give the same."""
+    from glossaframe.operators import runs as word_runs
+
+    rows = spark.createDataFrame([(i, f"a b c x{i} a b") for i in range(6)], "_rid bigint, content string")
+    at = spark.createDataFrame([(1, [(0, 5), (1, 6)])], "_rid bigint, at array<struct<pos: int, h: bigint>>")
+    plan = word_runs._kept(at, spark.createDataFrame([(5,)], "h bigint"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+    def listed():
+        found = frequent_runs(rows, "content", 1, 3, 2)
+        return {n: sorted((r["_rid"], [tuple(p) for p in r["at"]]) for r in places.collect()) for n, places in found.places.items()}
+
+    inside = listed()
+    monkeypatch.setattr(word_runs, "LISTED", 0)
+    assert listed() == inside
+
+
+def test_children_hold_their_parent(spark):
+    """Runs around the parents only, against all runs of the texts."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "of"], weights=[5, 4, 3, 2, 6], k=rng.randint(0, 9))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_rid bigint, content string")
+    tree = mining.mine_taxonomy(rows, "content", taxonomy_shape="hierarchical", min_chars=4, max_parent_categories=2,
+                                max_child_categories_per_parent=1000).collect()
+    words = {p: n for p, n in brute_support(texts, 1, 1).items() if n >= 2 and len(p) >= 4}
+    parents = sorted(words, key=lambda p: (-words[p], p))[:2]
+    runs = {p: n for p, n in brute_support(texts, 2, 3).items() if n >= 2}
+    expected = {(next(x for x in parents if x in p.split()), p, n) for p, n in runs.items() if set(parents) & set(p.split())}
+    assert {(r.parent, r.label, r.support) for r in tree} == expected and len(expected) < len(runs)
