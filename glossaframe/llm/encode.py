@@ -26,6 +26,9 @@ JOINED = 64
 
 def _singly_spaced(text: str) -> bool:
     """Whether all white space stands alone, between other characters, and is a space or a line break."""
+    flat = text.replace("\n", " ")
+    if flat.isprintable():  # no white space but spaces, and no \0
+        return "  " not in flat and flat[0] != " " and flat[-1] != " "
     words = text.split()
     gaps = text.count(" ") + text.count("\n")
     return len(words) == gaps + 1 and len(text) == gaps + sum(map(len, words)) and "\0" not in text
@@ -81,11 +84,31 @@ class TextEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         parts = [self.cut(t or "") for t in texts]
-        wanted = set(chain.from_iterable(parts))
-        new = wanted.difference(self.memo)
+        found, gaps, new = self._known(parts)
         if len(self.memo) + len(new) > MOST_KEPT:
             self.memo.clear()
-            new = wanted
+            found, gaps, new = self._known(parts)
+        self._learn(new)
+        for ids, part, at in zip(found, parts, gaps):
+            for k in at:
+                ids[k] = self.memo[part[k]]
+        return [b"".join(ids) for ids in found]
+
+    def _known(self, parts: list[list[str]]) -> tuple[list[list[bytes | None]], list[list[int]], set[str]]:
+        """For each text what the memo has of its stretches and the places that it lacks; the distinct stretches that it lacks."""
+        get, found, gaps, new = self.memo.get, [], [], set()
+        for part in parts:
+            ids, at, k = list(map(get, part)), [], -1
+            for _ in range(ids.count(None)):
+                k = ids.index(None, k + 1)
+                at.append(k)
+            new.update([part[k] for k in at])
+            found.append(ids)
+            gaps.append(at)
+        return found, gaps, new
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode stretches and keep their ids."""
         mark = self.between.strip(" ")
         apart = [p for p in new if not mark or mark in p or p.isspace()]
         joined = list(new.difference(apart)) if apart else list(new)
@@ -104,8 +127,6 @@ class TextEncoder:
             some = apart[low: low + 4096]
             for part, found in zip(some, self._ids(some)):
                 self.memo[part] = self._packed(found)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
 
 
 def text_encoder(path: str) -> TextEncoder:

@@ -36,6 +36,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     ids = np.ascontiguousarray(ids, "<u4")
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"an id needs more than {bits} bits")
+    if bits % 8 == 0:
+        return ids.view(np.uint8).reshape(-1, 4)[:, : bits // 8].tobytes()
     fields = np.unpackbits(ids.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
     return np.packbits(fields, bitorder="little").tobytes()
 
