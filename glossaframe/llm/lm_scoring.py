@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import stage
+from ..scratch import let_go, stage
 
 ORDER = 2
 PRIOR = 20.0
@@ -232,14 +232,17 @@ def key_width(n: int) -> int:
     return min(8, -(-(n.bit_length() + 22) // 8))
 
 
-def _narrow_keys(keys: np.ndarray, width: int) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def _steps_packed(numbers: np.ndarray, width: int) -> bytes:
+    """Ascending numbers of `width` bytes as the steps between them, all lowest bytes first: the high bytes of the steps are
+    zeros, which the compression of shuffles and tables takes away."""
+    steps = np.diff(numbers.astype("<u8"), prepend=np.uint64(0))
+    return steps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def _wide_keys(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view("<u8")[:, 0]
+def _steps_unpacked(data: bytes, width: int) -> np.ndarray:
+    steps = np.zeros((len(data) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64)
 
 
 def _counts_packed(counts: np.ndarray) -> bytes:
@@ -273,7 +276,7 @@ def _requests(blocks: DataFrame, order: int, buckets: list[int], widths: list[in
                     some = np.flatnonzero(edges[1:] > edges[:-1])
                     yield pa.RecordBatch.from_arrays([
                         pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int64()), pa.array([row["block"]] * len(some), pa.int64()),
-                        pa.array([_narrow_keys(keys[edges[b]: edges[b + 1]], width) for b in some], pa.binary()),
+                        pa.array([_steps_packed(keys[edges[b]: edges[b + 1]], width) for b in some], pa.binary()),
                         pa.array([_counts_packed(local[edges[b]: edges[b + 1]]) for b in some], pa.binary())], ["kind", "bucket", "block", "keys", "counts"])
 
     return blocks.select("block", "held", "leads", "sizes", "tokens", "words").mapInArrow(
@@ -284,7 +287,7 @@ def _answered(table: pa.Table, widths: list[int]) -> pa.Table:
     """What one bucket answers its blocks: (kind, bucket, block, places, totals, n_seen). `places` are those of the block's own
     n-grams in this bucket whose total is another than its own count. `n_seen`, on one row, is the number of n-grams seen."""
     width = widths[table["kind"][0].as_py()]
-    keys = [_wide_keys(k.as_py(), width) for k in table["keys"]]
+    keys = [_steps_unpacked(k.as_py(), width) for k in table["keys"]]
     sizes = np.array([len(k) for k in keys])
     local = np.concatenate([_counts_unpacked(c.as_py(), n) for c, n in zip(table["counts"], sizes.tolist())])
     distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
@@ -295,7 +298,7 @@ def _answered(table: pa.Table, widths: list[int]) -> pa.Table:
     places, answers = [], []
     for low, high in zip((ends - sizes).tolist(), ends.tolist()):
         at = np.flatnonzero(mine[low:high] != local[low:high])
-        places.append(np.diff(at, prepend=0).astype("<u4").tobytes())
+        places.append(_steps_packed(at, 4))
         answers.append(_counts_packed(mine[low:high][at]))
     n_seen = np.zeros(len(sizes), np.int64)
     n_seen[0] = int((totals > 0).sum())
@@ -319,6 +322,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     answers = stage(_requests(blocks, order, buckets, widths).groupBy("kind", "bucket").applyInArrow(
         lambda table: _answered(table, widths), "kind int, bucket bigint, block bigint, places binary, totals binary, n_seen bigint"), "lm-answers")
     train_words = int(answers.where("kind = 0").agg(F.sum("n_seen")).first()[0] or 0)
+    let_go(docs.sparkSession)  # the requests' shuffle files; Spark has heard by now that their query has ended
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
 
     def scored(own: pa.Table, answered: pa.Table) -> pa.Table:
@@ -330,7 +334,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             edges = _edges(keys, widths[kind], buckets[kind])
             for k, b, at, new in zip(*(answered[c].to_pylist() for c in ("kind", "bucket", "places", "totals"))):
                 if k == kind:
-                    at = edges[b] + np.cumsum(np.frombuffer(at, "<u4").astype(np.int64))
+                    at = edges[b] + _steps_unpacked(at, 4).astype(np.int64)
                     totals[at] = _counts_unpacked(new, len(at))
             whole = np.empty_like(totals)
             whole[places] = totals

@@ -7,6 +7,7 @@ survives the loss of executors, and Spark knows its true size when it later pick
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,10 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of plans that nothing refers to any more. Python's frames in reference cycles hold
+    on to theirs until Python's own garbage is collected, and Spark notices only when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,6 +5,8 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from glossaframe.llm import lm_scoring
@@ -100,3 +102,17 @@ def test_better_than_the_base_on_held_out_texts(spark):
     row = lm_scoring.score_documents(docs).where("held_out").selectExpr("sum(score)", "sum(base_score)", "sum(n_tokens)").first()
     assert row[0] > 0.93 * row[1]  # log10 probabilities, so a smaller share is better
     assert row[0] - row[1] > 0.3 * row[2]
+
+
+def test_steps_between_numbers():
+    rng = np.random.default_rng(3)
+    for width in (4, 5, 7, 8):
+        for n in (0, 1, 1000):
+            numbers = np.sort(rng.integers(0, 1 << 8 * width, n, dtype=np.uint64) if width < 8 else rng.integers(0, np.iinfo(np.uint64).max, n, dtype=np.uint64))
+            assert (lm_scoring._steps_unpacked(lm_scoring._steps_packed(numbers, width), width) == numbers).all()
+
+
+def test_sent_keys_are_smaller_than_the_hashes():
+    """300,000 hashes of 7 bytes have some 38 bits between them; what goes to a shuffle is compressed with LZ4."""
+    keys = np.sort(np.random.default_rng(4).integers(0, 1 << 56, 300_000, dtype=np.uint64))
+    assert len(pa.compress(lm_scoring._steps_packed(keys, 7), "lz4_raw", asbytes=True)) < 0.75 * 7 * len(keys)
