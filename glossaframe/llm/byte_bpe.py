@@ -18,6 +18,7 @@ import base64
 import uuid
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import stage
-from .encode import led_by_space
+from .encode import known_stretches, led_by_space
 from .expressions import let
 from .worker import worker_local
 
@@ -125,8 +126,12 @@ def merged(piece: Column, literals: RankLiterals) -> Column:
 
 
 def pieces_of(stretch: str, find) -> list[str]:
-    """The pattern's matches. A word, or a space and a word, is one match of any pattern that takes letters together."""
-    return [stretch] if stretch.isalpha() or stretch[:1] == " " and stretch[1:].isalpha() else find(stretch)
+    """The pattern's matches. A word, or a space and a word, is one match of any pattern that takes letters together, and a
+    comma or full stop after it another one."""
+    word = stretch[1:] if stretch[:1] == " " else stretch
+    if word.isalpha():
+        return [stretch]
+    return [stretch[:-1], word[-1]] if word[-1:] in (",", ".") and word[:-1].isalpha() else find(stretch)
 
 
 def piece_counts(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
@@ -207,8 +212,10 @@ class SentPieces:
 
     def find(self, pieces: list[str]) -> list[bytes | None]:
         """Each piece's ids, None for one that is not here. Equal hashes are told apart by their bytes."""
+        import xxhash
+
         data = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        wanted = np.array([self._hash(d) for d in data], np.uint64)
+        wanted = np.fromiter(map(xxhash.xxh64_intdigest, data), np.uint64, len(data))
         at = np.searchsorted(self.hashes, wanted)
         here = np.zeros(len(data), bool) if not len(self.hashes) else self.hashes[np.minimum(at, len(self.hashes) - 1)] == wanted
         found: list[bytes | None] = [None] * len(data)
@@ -252,27 +259,32 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, memo, lacking = regex.compile(pattern).findall, {}, {}
+        find, memo, older = regex.compile(pattern).findall, {}, {}
         known_pieces = SentPieces(*sent.value)
         for batch in batches:
             texts = [led_by_space(t or "") for t in batch.column(1).to_pylist()]
-            wanted = set().union(*texts)
-            new = wanted.difference(memo)
-            if len(memo) + len(new) > MOST_COUNTED:
-                memo.clear()
-                lacking.clear()
-                new = wanted
-            cuts = {s: pieces_of(s, find) for s in new}
-            pieces = list(set().union(*cuts.values()))
-            known = dict(zip(pieces, known_pieces.find(pieces)))
+            found, gaps, new = known_stretches(memo, texts)
+            values = {s: older[s] for s in new if s in older}
+            memo.update(values)
+            cuts = {s: pieces_of(s, find) for s in new if s not in values}
+            pieces = list(set(chain.from_iterable(cuts.values())))
+            known, lacking = dict(zip(pieces, known_pieces.find(pieces))), {}
             for piece, ids in known.items():
-                if ids is None:  # its place among the lacking ones stands for it
+                if ids is None:  # its place among the lacking ones of this batch stands for it
                     known[piece] = (UNKNOWN + lacking.setdefault(piece, len(lacking))).to_bytes(4, "little")
+            none_lacks = lacking.keys().isdisjoint
             for s, parts in cuts.items():
-                memo[s] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+                values[s] = ids = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+                if none_lacks(parts):
+                    memo[s] = ids
+            for some, part, at in zip(found, texts, gaps):
+                for k in at:
+                    some[k] = values[part[k]]
+            if len(memo) > MOST_COUNTED // 2:  # what is used again comes back from the older ones
+                memo, older = {}, memo
             names, ready, rare = list(lacking), [], []
-            for stretches in texts:
-                packed = b"".join(map(memo.__getitem__, stretches))
+            for some in found:
+                packed = b"".join(some)
                 ids = np.frombuffer(packed, "<u4")
                 at = np.flatnonzero(ids >= UNKNOWN)
                 which, places = np.unique(ids[at], return_inverse=True)
@@ -287,14 +299,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 ends, byte_arrays([p for some in rare for p in some]))], ["id", "ids", "rare"])
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tokens() -> list[bytes]:
+        def tokens() -> np.ndarray:
             ranks = read_ranks(ranks_path)
-            table = [b""] * (max(ranks.values()) + 1)
+            table = np.full(max(ranks.values()) + 1, b"", object)
             for token, rank in ranks.items():
                 table[rank] = token
             return table
 
-        of_id = worker_local(("tokens", ranks_path), tokens) if decode else []
+        of_id = worker_local(("tokens", ranks_path), tokens) if decode else None
         for batch in batches:
             whole = []
             for packed, rare in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -311,7 +323,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 whole.append(ids)
             columns = [batch.column(0), pa.array([i.astype("<u4").tobytes() for i in whole], pa.binary())]
             if decode:
-                columns.append(pa.array([b"".join(map(of_id.__getitem__, i.tolist())) for i in whole], pa.binary()))
+                columns.append(pa.array([b"".join(of_id[i].tolist()) for i in whole], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
 
     id_type = docs.select(id_col).schema[0].dataType.simpleString()

@@ -49,6 +49,24 @@ def between_spaces(text: str) -> list[str]:
     return [w for w in text.replace("\n", " ").split(" ") if w]
 
 
+def known_stretches(memo: dict[str, bytes], parts: list[list[str]]) -> tuple[list[list[bytes | None]], list[list[int]], set[str]]:
+    """For each text what the memo has of its stretches and the places that it lacks; the distinct stretches that it lacks."""
+    get, found, gaps, new = memo.get, [], [], set()
+    for part in parts:
+        ids, at, k = list(map(get, part)), [], -1
+        lacking = ids.count(None)
+        if lacking * 4 > len(ids):
+            at = [k for k, value in enumerate(ids) if value is None]
+        else:
+            for _ in range(lacking):
+                k = ids.index(None, k + 1)
+                at.append(k)
+        new.update([part[k] for k in at])
+        found.append(ids)
+        gaps.append(at)
+    return found, gaps, new
+
+
 class TextEncoder:
     """Encodes texts to little-endian ids of `width` bytes, without special tokens; their strings are ordinary text."""
 
@@ -84,29 +102,16 @@ class TextEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         parts = [self.cut(t or "") for t in texts]
-        found, gaps, new = self._known(parts)
+        found, gaps, new = known_stretches(self.memo, parts)
         if len(self.memo) + len(new) > MOST_KEPT:
             self.memo.clear()
-            found, gaps, new = self._known(parts)
+            found, gaps, new = known_stretches(self.memo, parts)
         self._learn(new)
         for ids, part, at in zip(found, parts, gaps):
             for k in at:
                 ids[k] = self.memo[part[k]]
         return [b"".join(ids) for ids in found]
 
-    def _known(self, parts: list[list[str]]) -> tuple[list[list[bytes | None]], list[list[int]], set[str]]:
-        """For each text what the memo has of its stretches and the places that it lacks; the distinct stretches that it lacks."""
-        get, found, gaps, new = self.memo.get, [], [], set()
-        for part in parts:
-            ids, at, k = list(map(get, part)), [], -1
-            for _ in range(ids.count(None)):
-                k = ids.index(None, k + 1)
-                at.append(k)
-            new.update([part[k] for k in at])
-            found.append(ids)
-            gaps.append(at)
-        return found, gaps, new
-
     def _learn(self, new: set[str]) -> None:
         """Encode stretches and keep their ids."""
         mark = self.between.strip(" ")
