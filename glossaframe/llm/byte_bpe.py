@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import stage
-from .encode import known_stretches, led_by_space
+from .encode import distinct_led_by_space
 from .expressions import let
 from .worker import worker_local
 
@@ -141,23 +141,22 @@ def piece_counts(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
     texts can be cut before such spaces and each distinct stretch matched once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
         import regex
 
-        find, stretches = regex.compile(pattern).findall, Counter()
+        find, stretches = regex.compile(pattern).findall, {}
 
         def handed_on():
-            found: Counter = Counter()
+            found: dict[str, int] = {}
             for stretch, n in stretches.items():
                 for piece in pieces_of(stretch, find):
-                    found[piece] += n
+                    found[piece] = found.get(piece, 0) + n
             stretches.clear()
             return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["piece", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                stretches.update(led_by_space(text or ""))
+            distinct, places = distinct_led_by_space(batch.column(0).to_pylist())
+            for stretch, n in zip(distinct, np.bincount(np.concatenate(places), minlength=len(distinct)).tolist() if places else []):
+                stretches[stretch] = stretches.get(stretch, 0) + n
             if len(stretches) >= MOST_COUNTED:
                 yield handed_on()
         if stretches:
@@ -262,8 +261,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         find, memo, older = regex.compile(pattern).findall, {}, {}
         known_pieces = SentPieces(*sent.value)
         for batch in batches:
-            texts = [led_by_space(t or "") for t in batch.column(1).to_pylist()]
-            found, gaps, new = known_stretches(memo, texts)
+            distinct, places = distinct_led_by_space(batch.column(1).to_pylist())
+            found = list(map(memo.get, distinct))
+            gaps = [k for k, ids in enumerate(found) if ids is None]
+            new = [distinct[k] for k in gaps]
             values = {s: older[s] for s in new if s in older}
             memo.update(values)
             cuts = {s: pieces_of(s, find) for s in new if s not in values}
@@ -277,14 +278,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 values[s] = ids = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
                 if none_lacks(parts):
                     memo[s] = ids
-            for some, part, at in zip(found, texts, gaps):
-                for k in at:
-                    some[k] = values[part[k]]
+            for k in gaps:
+                found[k] = values[distinct[k]]
             if len(memo) > MOST_COUNTED // 2:  # what is used again comes back from the older ones
                 memo, older = {}, memo
             names, ready, rare = list(lacking), [], []
-            for some in found:
-                packed = b"".join(some)
+            for own in places:
+                packed = b"".join(map(found.__getitem__, own.tolist()))
                 ids = np.frombuffer(packed, "<u4")
                 at = np.flatnonzero(ids >= UNKNOWN)
                 which, places = np.unique(ids[at], return_inverse=True)

@@ -12,6 +12,8 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .worker import worker_local
 
@@ -44,6 +46,21 @@ def led_by_space(text: str) -> list[str]:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
+def distinct_led_by_space(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct stretches of some texts, cut as `led_by_space` does, and for each text the places of its own among them."""
+    plain = [bool(t) and _singly_spaced(t) for t in texts]
+    marked = pa.array([t for t, p in zip(texts, plain) if p], pa.large_string())
+    cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(marked, " ", "\0 "), "\n", "\0\n\0"), "\0")
+    others = [STRETCH.findall(t or "") for t, p in zip(texts, plain) if not p]
+    coded = pa.concat_arrays([cut.flatten(), pa.array(chain.from_iterable(others), pa.large_string())]).dictionary_encode()
+    places, order = coded.indices.to_numpy(), np.argsort(~np.array(plain, bool), kind="stable")
+    sizes = np.concatenate([pc.list_value_length(cut).to_numpy(), np.array(list(map(len, others)), np.int64)])
+    own: list = [None] * len(texts)
+    for k, part in zip(order.tolist(), np.split(places, np.cumsum(sizes)[:-1])):
+        own[k] = part
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), own
+
+
 def between_spaces(text: str) -> list[str]:
     """Cut at spaces and line breaks, which are dropped."""
     return [w for w in text.replace("\n", " ").split(" ") if w]

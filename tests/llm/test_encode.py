@@ -58,3 +58,10 @@ def test_whole_bytes(bits):
     fields = np.unpackbits(ids.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
     assert token_files.pack(ids, bits) == np.packbits(fields, bitorder="little").tobytes()
     assert (token_files.unpack(token_files.pack(ids, bits), bits, len(ids)) == ids).all()
+
+
+@pytest.mark.parametrize("texts", [[], [None], ["", None, " a", "a  b", "a b, a", "a\tb", "x\0y z", "a\n\nb", "é ü\n中 文", ".,\n"], ["a b\nc", "b a"]])
+def test_distinct_stretches_are_those_of_each_text(texts):
+    distinct, places = encode.distinct_led_by_space(texts)
+    assert [[distinct[k] for k in own] for own in places] == [encode.led_by_space(t or "") for t in texts]
+    assert len(set(distinct)) == len(distinct)
